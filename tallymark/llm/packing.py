@@ -15,6 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -122,7 +123,7 @@ def _pieces(tokens: Tokens, capacity: int, separator: int):
 
 def _pack(capacity: int):
     def run(pieces: pa.Table) -> pa.Table:
-        order = pa.compute.sort_indices(pieces, [("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
+        order = pc.sort_indices(pieces, [("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
         pieces = pieces.take(order)
         bins, offsets = first_fit_decreasing(pieces["length"].to_numpy(), capacity)
         ids = (pieces["pack"].to_numpy().astype(np.int64) << 32) + bins
