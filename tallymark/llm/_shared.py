@@ -9,13 +9,15 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallymark.plans.shipping import ship
+
 #: Rows and bytes of an Arrow batch. Texts may be long, so the row count alone would not bound a Python worker's memory.
 BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
 
 
 def session(df: DataFrame) -> SparkSession:
-    """The frame's session, with Arrow batches of bounded size."""
-    spark = df.sparkSession
+    """The frame's session, with Arrow batches of bounded size and this package on its workers."""
+    spark = ship(df.sparkSession)
     for key, value in (
         ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS),
         ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES),

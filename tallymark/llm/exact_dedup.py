@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -97,7 +98,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         shas = [hashlib.sha256(t.lower()).digest() for t in batch.column(1).to_pylist()]
         h = np.frombuffer(b"".join(x[:8] for x in shas), dtype=">i8").astype(np.int64)
-        sizes = pa.compute.binary_length(batch.column(1)).cast(pa.int64())
+        sizes = pc.binary_length(batch.column(1)).cast(pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shas, pa.binary()), pa.array(h), sizes], ["doc_id", "sha", "h", "nbytes"])
 
 

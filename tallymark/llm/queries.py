@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymark.llm import exact_dedup, license_scan, packing, pii, quality, sharding, simhash, url_filter
+from tallymark.llm import exact_dedup, license_scan, packing, pii, quality, sentencepiece_lattice, sharding, simhash, url_filter
 from tallymark.llm._shared import table
 
 #: The key of the pseudonyms. Whoever runs this on private data sets another; see `pii.pseudonymise`.
 PII_KEY = b"tallymark demonstration key"
-VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
+VOCABULARY, RANKS, PIECES = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
 
 
 def tokens() -> packing.Tokens:
@@ -48,6 +48,13 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY)
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = sentencepiece_lattice.Pieces.load(public_tokenizers.path(PIECES))
+    return sentencepiece_lattice.encode(table(spark, sf_dir, "documents"), pieces, with_ids=False)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
@@ -60,7 +67,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_license_scan, op2_packing, op3_exact_dedup, op4_url_filter, op5_quality_rules, op6_sharding, op8_pii, op10_simhash, pipeline)
+    for f in (op1_license_scan, op2_packing, op3_exact_dedup, op4_url_filter, op5_quality_rules, op6_sharding, op8_pii, op9_sentencepiece, op10_simhash, pipeline)
 }
 
 ORACLE_SQL: dict[str, str] = {
