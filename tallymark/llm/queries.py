@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymark.llm import exact_dedup, license_scan, packing, pii, quality, sentencepiece_lattice, sharding, simhash, url_filter
+from tallymark.llm import exact_dedup, license_scan, line_dedup, packing, pii, quality, sentencepiece_lattice, sharding, simhash, url_filter
 from tallymark.llm._shared import table
 
 #: The key of the pseudonyms. Whoever runs this on private data sets another; see `pii.pseudonymise`.
@@ -44,6 +44,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY)
 
@@ -67,7 +71,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_license_scan, op2_packing, op3_exact_dedup, op4_url_filter, op5_quality_rules, op6_sharding, op8_pii, op9_sentencepiece, op10_simhash, pipeline)
+    for f in (op1_license_scan, op2_packing, op3_exact_dedup, op4_url_filter, op5_quality_rules, op6_sharding, op7_line_dedup, op8_pii, op9_sentencepiece, op10_simhash, pipeline)
 }
 
 ORACLE_SQL: dict[str, str] = {
