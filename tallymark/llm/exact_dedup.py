@@ -197,6 +197,6 @@ def exact_dedup(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, bucket_keys:
 
 
 def kept_rows(docs: DataFrame) -> DataFrame:
-    """The rows that stay, with all their columns."""
+    """The rows that stay, with all their columns. Only ids are hashed; texts are neither sorted nor held."""
     verdicts = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(verdicts, F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")
+    return docs.join(verdicts.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")

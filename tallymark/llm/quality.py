@@ -194,4 +194,4 @@ def quality_rules(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
 def kept_rows(docs: DataFrame) -> DataFrame:
     """The rows whose id no verdict rejects."""
     gone = quality_rules(docs).where("not kept").select(F.col("doc_id").alias("__gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__gone_id")), "left_anti")
+    return docs.join(gone.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("__gone_id")), "left_anti")

@@ -145,4 +145,4 @@ def simhash_components(docs: DataFrame, width: int = SHINGLE, max_bits: int = MA
 def kept_rows(docs: DataFrame) -> DataFrame:
     """One document of each component stays: that with the smallest doc_id."""
     stay = simhash_components(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")
+    return docs.join(stay.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")
