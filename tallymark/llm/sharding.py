@@ -115,11 +115,11 @@ def _place(rows: DataFrame, nodes: list[Node]) -> DataFrame:
 
 
 def k_d_tree(rows: DataFrame, shards: int) -> DataFrame:
-    """rows (k0.., h, i, size) with n, their shard. A row's place is a chain of log2(shards) lookups in literal tables."""
+    """rows (k0.., h, i, size) with n, their shard. Each of log2(shards) levels is a lookup in a literal table, then written."""
     placed, ends = rows.withColumn("n", F.lit(0).cast("long")), [Node(0, shards)]
     while todo := [e for e in ends if e.leaves > 1]:
         _cut(placed.join(_values(rows.sparkSession, "n", [(e.shard,) for e in todo]), "n"), todo)
-        placed = _place(placed, todo)
+        placed = stash(_place(placed, todo), "shard-level")
         ends = [Node(n, k) for e in ends for n, k in ((e.shard, e.leaves // 2), (e.shard + e.leaves // 2, e.leaves - e.leaves // 2)) if k]
     return placed
 
