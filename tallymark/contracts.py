@@ -13,12 +13,14 @@ YARDAGE = ("pass_yds", "rush_yds", "rec_yds")
 BUCKETS = ("lateral", "two_point", "challenge", "interception", "fumble", "penalty_stands", "td", "penalty_nullified", "normal")
 #: Points for each statistic, by scoring.
 POINTS = {"pass_yds": "0.04", "pass_td": "4", "int": "-2", "rush_yds": "0.1", "rush_td": "6", "rec_yds": "0.1", "rec_td": "6", "fumble_lost": "-2", "two_pt": "2"}
-RECEPTION = {"standard": "0", "half_ppr": "0.5", "ppr": "1"}
-SCORING = {name: {**POINTS, "rec": rec} for name, rec in RECEPTION.items()} | {"passing_6": {**POINTS, "rec": "1", "pass_td": "6"}}
+RECEPTION = {"standard": "0", "half_ppr": "0.5", "ppr": "1", "espn_14team_ppr": "1"}
+SCORING = {name: {**POINTS, "rec": rec} for name, rec in RECEPTION.items()}
 #: Seasons of each split.
 SPLITS = {"train": range(2015, 2023), "val": range(2023, 2024), "test": range(2024, 2025)}
 #: The per-group sums that all metrics are made of.
 SUMS = ("n", "valid", "strict_valid", "exact", "tp", "fp", "fn", "abs_err", "n_pairs")
+#: Prompt styles and the schema of the answers that each asks for.
+STYLES = {"full": "v1", "minimal": "v1", "minimal_v2": "v2"}
 CHECKS = ("schema", "yardage", "names", "agreement")
 
 CREDIT = T.StructType([T.StructField("player", T.StringType()), T.StructField("stat", T.StringType()), T.StructField("value", T.IntegerType())])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallymark.contracts import STYLES
+
 
 def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -45,10 +47,10 @@ def whole_name(name: str | Column, text: str | Column) -> Column:
 
 def without_names(text: str | Column) -> Column:
     """A description for retrieval: no clock, players as PLAYER, spots as SPOT, other digits as #."""
-    t = F.regexp_replace(_col(text), r"^\(\d*:\d\d\) ", "")
-    t = F.regexp_replace(t, r"(?:[A-Z]{2,3}-)?\d{1,2}-[A-Z][A-Za-z']*\. ?(?:St\. ?)?[A-Z][A-Za-z'\-]*", " PLAYER ")
+    t = F.regexp_replace(F.coalesce(_col(text), F.lit("")), r"^\(\d{0,2}:\d{2}\)\s*", "")
+    t = F.regexp_replace(t, r"\b(?:[A-Z]{2,3}-)?\d{1,2}-[A-Z][A-Za-z']*\. ?[A-Za-z][A-Za-z'\-]*", " PLAYER ")
     t = F.regexp_replace(t, r"\b[A-Z]{2,3} \d{1,2}\b", " SPOT ")
-    return F.regexp_replace(t, r"\d", "#")
+    return F.regexp_replace(t, r"\d+", "#")
 
 
 def record_key(game: str = "game_id", play: str = "play_id") -> Column:
@@ -72,8 +74,27 @@ def without_fence(text: str | Column) -> Column:
 
 
 def user_turn(text: str | Column, team: str | Column, los: str | Column | None = None) -> Column:
-    """The user's message for one play."""
-    parts = [F.concat(F.lit("Offense: "), F.coalesce(_col(team), F.lit("unknown")))]
+    """The user's message for one play; with the line of scrimmage in the second version."""
+    known = lambda c: F.coalesce(F.nullif(_col(c), F.lit("")), F.lit("UNK"))
+    lines = [F.concat(F.lit("posteam: "), known(team))]
     if los is not None:
-        parts.append(F.concat(F.lit("Line of scrimmage: "), F.coalesce(_col(los), F.lit("unknown"))))
-    return F.concat_ws("\n", *parts, F.concat(F.lit("Play: "), F.coalesce(_col(text), F.lit(""))))
+        lines.append(F.concat(F.lit("los: "), known(los)))
+    return F.concat_ws("\n", *lines, F.concat(F.lit("desc: "), F.coalesce(_col(text), F.lit(""))))
+
+
+def messages(text: str | Column, team: str | Column, los: str | Column, style: str, system: str | None = None) -> Column:
+    """The chat messages of a play as (role, content). Only the full style has a system message, and must have one."""
+    if style not in STYLES:
+        raise ValueError(f"unknown style {style}; known: {', '.join(STYLES)}")
+    if (system is not None) != (style == "full"):
+        raise ValueError(f"style {style} {'needs' if style == 'full' else 'has no'} system message")
+    turn = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    user = turn("user", user_turn(text, team, los if STYLES[style] == "v2" else None))
+    return F.array(*([turn("system", F.lit(system))] if system is not None else []), user)
+
+
+def style_schema(style: str, schema: str | None = None) -> str:
+    """The schema that a style's answers have; another one asked for is an error."""
+    if style not in STYLES or schema not in (None, STYLES[style]):
+        raise ValueError(f"style {style} goes with {STYLES.get(style, 'nothing')}, not {schema}")
+    return STYLES[style]

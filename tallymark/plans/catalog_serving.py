@@ -272,7 +272,7 @@ ORACLE_SQL = {
     "checkpoints_dropped": f"WITH {_EV} SELECT run, step FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY step DESC) AS k FROM v) WHERE k > 5",
     "cost_rollup": """WITH u AS (SELECT event_type, (user_id % 20) / 4.0 / 8 AS s, CASE event_id % 3 WHEN 0 THEN (event_id % 100 * 10 * 2.0 + user_id % 50 * 8.0) / 1e6 WHEN 1 THEN (event_id % 7) / 1000.0 ELSE (user_id % 20) / 4.0 / 8 * 3.6 / 3600 END AS d FROM events)
         SELECT event_type, count(*) AS n, round(CAST(sum(s) AS DOUBLE), 6) AS seconds, round(CAST(sum(d) AS DOUBLE), 6) AS dollars, round(1000 * CAST(sum(d) AS DOUBLE) / count(*), 6) AS dollars_per_1k FROM u GROUP BY 1""",
-    "prompt_render": f"{O.scoped()} SELECT game_id || '#' || play_id AS key, 'Offense: ' || posteam || chr(10) || 'Line of scrimmage: ' || yrdln || chr(10) || 'Play: ' || descr AS prompt FROM sc",
+    "prompt_render": f"{O.scoped()} SELECT game_id || '#' || play_id AS key, 'posteam: ' || posteam || chr(10) || 'los: ' || yrdln || chr(10) || 'desc: ' || descr AS prompt FROM sc",
     "fewshot_messages": """SELECT conv_id, 'system:Read one play.|' || string_agg('user:' || substr(role, 1, 4) || '|assistant:' || substr(text, 1, 12), '|' ORDER BY turn) AS messages FROM conversations WHERE turn < 4 GROUP BY 1""",
     "dataset_manifest": f"""{O.labels()}, j AS (SELECT bucket, '{{"game_id":"' || game_id || '","play_id":' || play_id || ',"label":"' || replace(label, '"', '\\"') || '"}}' AS line FROM labels)
         SELECT bucket, count(*) AS n_rows, CAST(sum(strlen(line) + 1) AS BIGINT) AS n_bytes, bit_xor(CAST('0x' || substr(md5(line), 1, 15) AS BIGINT)) AS folded FROM j GROUP BY 1""",

@@ -53,6 +53,19 @@ def test_text(spark):
     assert [r["b"] for r in fences] == ["{}", "{}", "a ```x```"]
 
 
+def test_prompts(spark):
+    row = spark.createDataFrame([("runs", None, "PHI 30")], "t string, p string, l string")
+    full = row.select(text.messages("t", "p", "l", "full", "Read.").alias("m")).first()["m"]
+    assert [tuple(m) for m in full] == [("system", "Read."), ("user", "posteam: UNK\ndesc: runs")]
+    assert row.select(text.messages("t", "p", "l", "minimal_v2").alias("m")).first()["m"][0]["content"] == "posteam: UNK\nlos: PHI 30\ndesc: runs"
+    assert text.style_schema("minimal") == "v1"
+    for call in (lambda: text.messages("t", "p", "l", "odd"), lambda: text.messages("t", "p", "l", "minimal", "x"), lambda: text.style_schema("minimal", "v2")):
+        with pytest.raises(ValueError):
+            call()
+    plain = spark.createDataFrame([("(12:05) 22-D.Henry left to KC 32 for 17 yards.",)], "t string").select(text.without_names("t").alias("n")).first()["n"]
+    assert plain == " PLAYER  left to  SPOT  for # yards."
+
+
 def test_splits_refuse_unknown_seasons(spark):
     with pytest.raises(PySparkException):
         spark.createDataFrame([(1999,)], "season int").select(split_of(F.col("season"))).collect()
