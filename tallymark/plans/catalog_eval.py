@@ -379,6 +379,13 @@ ORACLE_SQL = {
     "proportional_sample": f"""WITH r AS (SELECT doc_id, lang, {_RANK.format(seed=5)} FROM documents), s AS (SELECT DISTINCT lang, size, 100.0 * size / (SELECT count(*) FROM documents) AS x FROM r),
         given AS (SELECT lang, least(size, greatest(1, CAST(floor(x) AS BIGINT))) + CASE WHEN row_number() OVER (ORDER BY x - floor(x) DESC, lang) <= 100 - (SELECT sum(least(size, greatest(1, CAST(floor(x) AS BIGINT)))) FROM s) THEN 1 ELSE 0 END AS k FROM s)
         SELECT doc_id, lang FROM r JOIN given USING (lang) WHERE r <= k""",
+    "enriched_sample": """WITH s AS (SELECT lang, count(*) AS size FROM documents GROUP BY 1), w AS (SELECT coalesce((SELECT size FROM s WHERE lang = 'es'), 0) AS k), o AS (SELECT * FROM s WHERE lang NOT IN ('es', 'en')),
+        lv AS (SELECT max(l) AS level FROM (SELECT unnest(range(0, 151)) AS l) WHERE (SELECT sum(least(size, l)) FROM o) <= (SELECT greatest(0, 150 - k) FROM w)),
+        given AS (SELECT lang, least(size, level) + CASE WHEN size > level AND row_number() OVER (PARTITION BY size > level ORDER BY lang) <= greatest(0, 150 - k) - (SELECT sum(least(size, level)) FROM o, lv) THEN 1 ELSE 0 END AS n FROM o, lv, w),
+        rest AS (SELECT lang, n FROM given UNION ALL SELECT 'es', k FROM w WHERE k > 0)
+        SELECT lang, CAST(n AS BIGINT) AS n FROM rest WHERE n > 0 UNION ALL SELECT 'en', CAST(least(size, (SELECT sum(n) FROM rest)) AS BIGINT) FROM s WHERE lang = 'en'""",
+    "normalized_texts": f"""{O.scoped()} SELECT game_id, play_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(descr, '^\\(\\d{{0,2}}:\\d{{2}}\\)\\s*', ''),
+        '\\b(?:[A-Z]{{2,3}}-)?\\d{{1,2}}-[A-Z][A-Za-z'']*\\. ?[A-Za-z][A-Za-z''\\-]*', ' PLAYER ', 'g'), '\\b[A-Z]{{2,3}} \\d{{1,2}}\\b', ' SPOT ', 'g'), '\\d+', '#', 'g') AS plain FROM sc WHERE shape IN ('run', 'pass')""",
     "whole_group_topup": _TURNS.format(seed=20241)
     + """, core AS (SELECT t.* FROM t JOIN o USING (conv_id) WHERE before < 100), need AS (SELECT role, 60 - count(*) FILTER (WHERE c) AS k FROM (SELECT t.*, conv_id IN (SELECT conv_id FROM core) AS c FROM t) GROUP BY 1),
         pool AS (SELECT *, row_number() OVER (PARTITION BY role ORDER BY sha256('20241:' || conv_id || ':' || turn), conv_id, turn) AS r FROM t WHERE conv_id NOT IN (SELECT conv_id FROM core))
