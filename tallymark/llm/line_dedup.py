@@ -1,7 +1,7 @@
 """Line dedup by an exact set-similarity join over all lines of a corpus.
 
 A line is the set of its words (ASCII letters lower-cased, other ASCII but digits as blanks). Words are ordered by rarity: by
-how often their hash bucket occurs in the whole corpus (2^20 buckets, a byte each, so the order fits any task), then by
+how often their hash bucket occurs in the whole corpus (2^22 buckets, a byte each, so the order fits any task), then by
 hash. Two lines of Jaccard at least 4/5 share a word among the first few of either, so each class of equal lines is posted
 under its prefix words. Where postings meet, the length filter, the positional filter and a parity filter (words that differ
 flip bits, so lines whose parity words differ in too many bits have too many different words) leave few pairs, and these are
@@ -23,11 +23,13 @@ from pyspark.sql import functions as F
 
 from tallymark.llm._shared import session, stash, text_bytes
 
-BUCKET_BITS, SLICE_BYTES, SEEN_CLASSES = 20, 1 << 21, 1 << 20
+BUCKET_BITS, SLICE_BYTES, SEEN_CLASSES = 22, 1 << 21, 1 << 20
 #: Candidates of a class from one posting list in the first round; GROWTH times as many in each further round.
-CANDIDATES, GROWTH = 4, 16
-#: Line numbers that may be sent to all tasks for the verification; more are joined by a shuffle.
-BROADCAST_LINES = 200_000
+CANDIDATES, GROWTH = 1, 16
+#: Words that a task gathers before it adds them to its counts.
+COUNT_WORDS = 1 << 21
+#: Rows (a few numbers each) that may be sent to all tasks; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 _TABLE = bytes(c if c in b"0123456789abcdefghijklmnopqrstuvwxyz\n" or c > 0x7F else 0x20 for c in bytes(range(256)).lower())
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -90,10 +92,15 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(1 << BUCKET_BITS, np.int64)
+    counts, held, words = np.zeros(1 << BUCKET_BITS, np.int64), [], 0
     for _, _, data in _slices(batches):
-        _, hashes = word_hashes(data)
-        counts += np.bincount((hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=1 << BUCKET_BITS)
+        held.append((word_hashes(data)[1] >> np.uint64(64 - BUCKET_BITS)).astype(np.int32))
+        words += len(held[-1])
+        if words > COUNT_WORDS:
+            counts += np.bincount(np.concatenate(held), minlength=1 << BUCKET_BITS)
+            held, words = [], 0
+    if held:
+        counts += np.bincount(np.concatenate(held), minlength=1 << BUCKET_BITS)
     at = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["bucket", "n"])
 
@@ -178,11 +185,9 @@ def _match(most: int):
 
     def work(rows: pa.Table) -> pa.RecordBatch:
         col = {c: rows[c].combine_chunks().to_numpy(zero_copy_only=False) for c in rows.column_names}
-        order = np.lexsort((np.arange(len(rows)), col["parity"], col["ck"], col["word"]))
-        same = np.zeros(len(rows), bool)
-        a, b = order[1:], order[:-1]
-        same[a] = (col["word"][a] == col["word"][b]) & (col["ck"][a] == col["ck"][b]) & (col["parity"][a] == col["parity"][b])
-        col = {c: v[~same] for c, v in col.items()}
+        one = _mix(col["word"].view(np.uint64)) + _mix(col["ck"].view(np.uint64)) + col["parity"].view(np.uint64)
+        first = np.sort(np.unique(one, return_index=True)[1])  # a class once for each word, its earliest line
+        col = {c: v[first] for c, v in col.items()}
         i, j, full = earliest_candidates(col["word"], col["n"], col["pos"], col["parity"].view(np.uint64), col["probe"], most)
         out = [col[c][x] for x in (i, j) for c in ("ck", "parity", "doc_id", "line")]
         return pa.RecordBatch.from_arrays([*map(pa.array, out), pa.array(full[i])], names)
@@ -247,6 +252,11 @@ def _rarity(rows: DataFrame) -> np.ndarray:
     return level
 
 
+def _bounded(side: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if it has no more than BROADCAST_ROWS rows."""
+    return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
+
+
 def _similar(rows: DataFrame, lines: DataFrame, level: np.ndarray) -> DataFrame:
     """(ck, parity) of the classes that have a similar class that comes earlier."""
     spark = rows.sparkSession
@@ -260,7 +270,7 @@ def _similar(rows: DataFrame, lines: DataFrame, level: np.ndarray) -> DataFrame:
         ends = pairs.select("doc_id", "line").union(pairs.select("doc_id2", "line2")).distinct()
         wanted = stash(ends.groupBy("doc_id").agg(F.collect_set("line").alias("wanted")), "lines-wanted")
         size = wanted.agg(F.sum(F.size("wanted") + 2)).first()[0] or 0
-        side = F.broadcast(wanted) if size <= BROADCAST_LINES else wanted
+        side = F.broadcast(wanted) if size <= BROADCAST_ROWS else wanted
         sets = rows.join(side, "doc_id").select("doc_id", "text", "wanted").mapInArrow(lambda it: _sets(shared.value)(it), "ck long, parity long, words binary").dropDuplicates(["ck", "parity"])
         sets = stash(sets, "line-sets")
         unique = pairs.groupBy("ck", "parity", "ck2", "parity2").agg(F.max("more").alias("more"))
@@ -272,7 +282,10 @@ def _similar(rows: DataFrame, lines: DataFrame, level: np.ndarray) -> DataFrame:
         if left.isEmpty():
             return done
         most *= GROWTH
-        posted = posted.drop("probe").join(left.withColumn("probe", F.lit(True)), ["ck", "parity"], "left").withColumn("probe", F.coalesce("probe", F.lit(False)))
+        left = _bounded(left)
+        words = _bounded(stash(posted.join(left, ["ck", "parity"]).select("word").distinct(), "open-words"))
+        again = posted.drop("probe").join(words, "word", "left_semi")
+        posted = again.join(left.withColumn("probe", F.lit(True)), ["ck", "parity"], "left").withColumn("probe", F.coalesce("probe", F.lit(False)))
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
