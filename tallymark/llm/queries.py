@@ -74,7 +74,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_license_scan, op2_packing, op3_exact_dedup, op4_url_filter, op5_quality_rules, op6_sharding, op7_line_dedup, op8_pii, op9_sentencepiece, op10_simhash, pipeline)
 }
 
+def _url_sql() -> str:
+    """Rules and terms again, each term tried at each place of the url."""
+    rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in url_filter.RULES)
+    strict, soft = (", ".join(f"'{t}'" for t in terms) for terms in (url_filter.STRICT, url_filter.SOFT))
+    hits = "len(list_filter(range(1, length(u) + 1), lambda i: substr(u, i, length(t)) = t AND NOT regexp_matches(substr(' ' || u, i, 1), '[0-9a-z]') AND NOT regexp_matches(substr(u, i + length(t), 1), '[0-9a-z]')))"
+    return f"""
+        WITH rules(h, p, v) AS (VALUES {rules}),
+        a AS (SELECT page_id, lower(url_decode(coalesce(url, ''))) AS u, CASE WHEN instr(url, '://') > 0 THEN regexp_extract(substr(url, instr(url, '://') + 3), '^[^?#]*') ELSE '' END AS rest FROM pages),
+        b AS (SELECT page_id, u, lower(regexp_extract(rest, '^[^/]*')) AS host, substr(rest, length(regexp_extract(rest, '^[^/]*')) + 1) AS path FROM a),
+        fit AS (SELECT page_id, max_by(h || p, length(h || p)) AS rule, max_by(v, length(h || p)) AS ruled FROM b JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY 1),
+        hits AS (SELECT page_id, CAST(coalesce(sum(CASE WHEN strict THEN n END), 0) AS BIGINT) AS strict_hits, count(CASE WHEN NOT strict AND n > 0 THEN 1 END) AS soft_terms
+            FROM (SELECT page_id, strict, {hits} AS n FROM b CROSS JOIN (SELECT unnest([{strict}]) AS t, true AS strict UNION ALL SELECT unnest([{soft}]), false)) GROUP BY 1)
+        SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN strict_hits > 0 OR soft_terms >= {url_filter.SOFT_LIMIT} THEN 'block' ELSE 'allow' END) AS verdict, strict_hits, soft_terms
+        FROM b LEFT JOIN fit USING (page_id) LEFT JOIN hits USING (page_id)
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op4_url_filter": _url_sql(),
     "op3_exact_dedup": """
         WITH n AS (
             SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
