@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.operators.metrics import RATIOS, ratios
+from tallymark.plans.ranks import numbered
 
 SUMS = ("n", "valid", "strict_valid", "exact", "tp", "fp", "fn")
 
 
 def clusters(rows: DataFrame, key: str = "game_id") -> DataFrame:
-    """(key, at): distinct clusters numbered from 0 in order."""
-    return rows.select(key).distinct().withColumn("at", (F.row_number().over(Window.orderBy(key)) - 1).cast("long"))
+    """(key, at): distinct clusters numbered from 0 by a hash."""
+    return numbered(rows.select(key).distinct(), [F.md5(key), key], "at")
 
 
 def draws(rows: DataFrame, n: int, resamples: int, seed: int) -> DataFrame:

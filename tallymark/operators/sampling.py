@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.plans.ranks import ranked
+from tallymark.plans.ranks import ranked, summed_before
 
 
 def hash_order(seed: int, *keys: str) -> Column:
@@ -69,9 +69,7 @@ def stratified(rows: DataFrame, stratum: str, keys: list[str], given: dict[str,
 def whole_groups(rows: DataFrame, group: str, at_least: int, seed: int) -> DataFrame:
     """(group, size, before): groups in hash order while fewer than at_least rows come before them."""
     sizes = rows.groupBy(group).agg(F.count("*").alias("size"))
-    h = hash_order(seed, group)
-    before = F.sum("size").over(Window.orderBy("__h", group).rowsBetween(Window.unboundedPreceding, -1))
-    return sizes.withColumn("__h", h).withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < at_least).drop("__h")
+    return summed_before(sizes, [hash_order(seed, group), group], "before", "size").where(F.col("before") < at_least)
 
 
 def groups_and_top_up(rows: DataFrame, group: str, stratum: str, keys: list[str], at_least: int, per_stratum: int, seed: int) -> DataFrame:

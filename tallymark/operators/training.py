@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymark.operators.sampling import hash_order
+from tallymark.plans.ranks import numbered
 
 IGNORED = -100
 
@@ -30,21 +31,9 @@ def within_length(rows: DataFrame, length: Column, limit: int) -> tuple[DataFram
     return rows.where(length <= limit), rows.where(length > limit)
 
 
-def numbered(rows: DataFrame, order: list[Column | str], name: str = "at") -> DataFrame:
-    """rows with their position in an order, from 0, by blocks: counts of blocks are summed, and each block is ranked by itself.
-
-    Blocks are ranges of the order's first key, a hash in hexadecimal, so they are even.
-    """
-    keyed = rows.withColumn("__h", order[0] if isinstance(order[0], Column) else F.col(order[0])).withColumn("__block", F.substring("__h", 1, 2))
-    blocks = keyed.groupBy("__block").agg(F.count("*").alias("__n"))
-    first = blocks.select("__block", (F.sum("__n").over(Window.orderBy("__block")) - F.col("__n")).alias("__first"))
-    rank = F.row_number().over(Window.partitionBy("__block").orderBy("__h", *order[1:]))
-    return keyed.join(first, "__block").withColumn(name, F.col("__first") + rank - 1).drop("__h", "__block", "__first")
-
-
 def batch_padding(rows: DataFrame, key: str, length: str, size: int, seed: int, multiple: int = 1) -> DataFrame:
     """One row: real tokens, and tokens when batches of `size` in hash order are padded to their longest row."""
-    placed = numbered(rows.select(key, length), [hash_order(seed, key), key])
+    placed = numbered(rows.select(key, length), [hash_order(seed, key), key], "at")
     batches = placed.groupBy(F.floor(F.col("at") / size).alias("batch")).agg(F.max(length).alias("most"), F.count("*").alias("n"), F.sum(length).alias("real"))
     wide = rounded_up(F.col("most"), multiple) * F.col("n")
     return batches.agg(F.sum("real").cast("long").alias("real_tokens"), F.sum(wide).cast("long").alias("padded_tokens"), F.count("*").alias("batches"))
@@ -54,8 +43,7 @@ def epoch_stream(rows: DataFrame, key: str, epochs: int, size: int, seed: int) -
     """(step, slot, epoch, key): steps take `size` rows in turn from the epochs' permutations, laid end to end."""
     n = rows.count()
     every = rows.select(key).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
-    order = Window.partitionBy("epoch").orderBy(hash_order(seed, "epoch", key), key)
-    placed = every.withColumn("__at", F.col("epoch").cast("long") * n + F.row_number().over(order) - 1)
+    placed = numbered(every, [hash_order(seed, "epoch", key), key], "__at", ["epoch"]).withColumn("__at", F.col("epoch").cast("long") * n + F.col("__at"))
     return placed.select(F.floor(F.col("__at") / size).alias("step"), (F.col("__at") % size).alias("slot"), "epoch", key)
 
 

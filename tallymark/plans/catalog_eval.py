@@ -310,7 +310,7 @@ _SUMS = ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in bootstrap.SUMS)
 
 def _draws(boots: int, source: str) -> str:
     """w: boot, key, times drawn."""
-    return f"""games AS (SELECT game_id, row_number() OVER (ORDER BY game_id) - 1 AS idx FROM (SELECT DISTINCT game_id FROM {source})), gn AS (SELECT count(*) AS n FROM games),
+    return f"""games AS (SELECT game_id, row_number() OVER (ORDER BY md5(game_id), game_id) - 1 AS idx FROM (SELECT DISTINCT game_id FROM {source})), gn AS (SELECT count(*) AS n FROM games),
         w AS (SELECT boot, idx, count(*) AS w FROM (SELECT id // n AS boot, CAST('0x' || substr(md5('0:' || (id // n) || ':' || (id % n)), 1, 8) AS BIGINT) % n AS idx
             FROM (SELECT n, unnest(range(n * {boots})) AS id FROM gn)) GROUP BY 1, 2)"""
 
