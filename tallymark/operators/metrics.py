@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable, Iterator
 from decimal import Decimal
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.contracts import SCORING
+from tallymark.plans.shipping import ship
 
 PLAY = ["game_id", "play_id"]
 CREDIT = ["player", "stat", "value"]
@@ -88,3 +92,27 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     p, d = k / m, 1 + z * z / m
     mid, half = (p + z * z / (2 * m)) / d, z * F.sqrt(p * (1 - p) / m + z * z / (4 * m * m)) / d
     return F.coalesce(F.greatest(F.lit(0.0), mid - half), F.lit(0.0)), F.coalesce(F.least(F.lit(1.0), mid + half), F.lit(1.0))
+
+
+def contingency(a: DataFrame, b: DataFrame, keys: list[str] = PLAY) -> DataFrame:
+    """(a_right, b_right, n) over the keys that both have."""
+    both = a.select(*keys, F.col("exact").alias("a_right")).join(b.select(*keys, F.col("exact").alias("b_right")), keys)
+    return both.groupBy("a_right", "b_right").agg(F.count("*").alias("n"))
+
+
+def regressions(a: DataFrame, b: DataFrame, keys: list[str] = PLAY) -> DataFrame:
+    """Keys that a has right and b has wrong."""
+    return a.where("exact").select(*keys).join(b.where(~F.col("exact")).select(*keys), keys, "left_semi")
+
+
+def custom_points(credits: DataFrame, score: Callable[[dict[str, int]], float]) -> DataFrame:
+    """(game_id, player, points) by any function of a player's totals, also one that is not a sum of parts."""
+    ship(credits.sparkSession)
+    per = credits.groupBy("game_id", "player", "stat").agg(F.sum("value").cast("int").alias("value"))
+    held = per.groupBy("game_id", "player").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("stat", "value")))).alias("totals"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[["game_id", "player"]].assign(points=[float(score(json.loads(t))) for t in batch["totals"]])
+
+    return held.mapInPandas(run, "game_id string, player string, points double")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallymark.contracts import BUCKETS, split_of
 from tallymark.functions import labels_json, parser, spots, text
-from tallymark.operators import bootstrap, distill, labeller, metrics, registry, retrieval, rules, sampling
+from tallymark.operators import bootstrap, distill, labeller, labeller_v2, metrics, registry, retrieval, rules, sampling
 from tallymark.plans import oracle as O
 from tallymark.plans.shared import stash
 from tallymark.plans.shipping import ship
@@ -271,16 +271,37 @@ def normalized_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scoped(spark, sf_dir).where("shape in ('run', 'pass')").select(*PLAY, text.without_names("descr").alias("plain"))
 
 
+def labels_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labeller_v2.labels_v2(_scoped(spark, sf_dir))
+
+
+def paired_contingency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.contingency(_scored(spark, sf_dir, "a"), _scored(spark, sf_dir, "b"))
+
+
+def regression_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.regressions(_scored(spark, sf_dir, "a"), _scored(spark, sf_dir, "b"))
+
+
+def custom_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score with a bonus from 100 yards on, which no sum of weights gives."""
+    _, gold = _gold(spark, sf_dir)
+    return metrics.custom_points(gold, lambda t: t.get("rush_yds", 0) / 2 + (8 if t.get("rush_yds", 0) >= 100 else 0))
+
+
 QUERIES = {f.__name__: f for f in (
     multiset_prf, game_statistics, bucket_metrics, game_mae, validation_scores, cluster_bootstrap_ci, paired_diff_ci, arm_verdict, row_bootstrap, wilson_precision, audit_summary,
     nested_subset, balanced_sample, proportional_sample, enriched_sample, whole_group_topup, whole_group_limit, tfidf_topk, rejection_filter, rejection_filter_unfiltered, drop_stats,
     filter_precision, missing_samples, resume_pending, latest_entries, budget_prefix, gate_decision, gate_promotions, registry_state, registry_next_version, json_extract_validate,
-    parser_exact_match, parser_los_exact_match, spot_arithmetic, literal_spot_kinds, v2_round_trip, stated_yardage_values, normalized_texts,
+    parser_exact_match, parser_los_exact_match, spot_arithmetic, literal_spot_kinds, v2_round_trip, stated_yardage_values, normalized_texts, labels_v2, paired_contingency, regression_filter, custom_score,
 )}
 
 _Y = "('pass_yds', 'rush_yds', 'rec_yds')"
 
 
+_SPOT = "CASE WHEN {x} = 50 THEN '50' WHEN {x} = 100 THEN 'OPP 0' WHEN {x} < 50 THEN posteam || ' ' || {x} ELSE defteam || ' ' || (100 - {x}) END"
+
+
 def _pred(s: str) -> str:
     kind = "play_id % 11" if s == "a" else "(play_id * 3 + 1) % 13"
     names = {0: "none", 1: "yards"} | ({2: "fewer", 3: "more", 4: "twice", 5: "nullified", 6: "prose"} if s == "a" else {})
@@ -416,6 +437,18 @@ ORACLE_SQL = {
     "literal_spot_kinds": f"""{O.scoped()}, k AS (SELECT {O.SPLIT} AS split, CASE WHEN yrdln = '50' THEN regexp_matches(descr, '\\b(to|at|from|on|MID|[A-Z]{{2,3}}) 50\\b') ELSE regexp_matches(descr, '(^|[^A-Za-z0-9-])' || yrdln || '($|[^0-9])') END AS lit FROM sc)
         SELECT split, count_if(lit) AS literal, CAST(0 AS BIGINT) AS goal_line, count_if(NOT lit) AS computed FROM k GROUP BY 1""",
     "v2_round_trip": f"{O.credits()} SELECT stat, count(*) AS n, count(*) AS on_field, count(*) AS same FROM credits WHERE stat IN {_Y} GROUP BY 1",
+    "paired_contingency": f"{O.labels()}, {_pred('a')}, {_pred('b')} SELECT a.exact AS a_right, b.exact AS b_right, count(*) AS n FROM sc_a a JOIN sc_b b USING (game_id, play_id) GROUP BY 1, 2",
+    "regression_filter": f"{O.labels()}, {_pred('a')}, {_pred('b')} SELECT a.game_id, a.play_id FROM sc_a a JOIN sc_b b USING (game_id, play_id) WHERE a.exact AND NOT b.exact",
+    "custom_score": f"{O.credits()}, t AS (SELECT game_id, player, CAST(coalesce(sum(value) FILTER (WHERE stat = 'rush_yds'), 0) AS DOUBLE) AS y FROM credits GROUP BY 1, 2) SELECT game_id, player, y / 2 + CASE WHEN y >= 100 THEN 8 ELSE 0 END AS points FROM t",
+    "labels_v2": f"""{O.credits()}, c2 AS (SELECT c.game_id, c.play_id, c.player, c.stat, c.value, s.posteam, s.defteam, s.los_at,
+            CASE WHEN c.stat = 'rec_yds' AND s.lateral_reception = 1 AND c.player = CASE WHEN s.lateral_receiver_player_name = 'D. Thomas' THEN 'D.Thomas' ELSE s.lateral_receiver_player_name END THEN s.los_at + CAST(s.receiving_yards AS INT) ELSE s.los_at END AS start
+            FROM credits c JOIN sc s USING (game_id, play_id)),
+        c3 AS (SELECT *, start + value AS stop FROM c2),
+        c4 AS (SELECT *, {_SPOT.format(x='start')} AS from_, {_SPOT.format(x='stop')} AS to_ FROM c3),
+        items AS (SELECT game_id, play_id, string_agg('{{"player":"' || player || '","stat":"' || stat || '",' || CASE WHEN stat IN {_Y} THEN CASE WHEN start <> los_at THEN '"from":"' || from_ || '",' ELSE '' END || '"to":"' || to_ || '"' ELSE '"value":' || value END || '}}', ','
+            ORDER BY {O.ORD}, player, CASE WHEN stat IN {_Y} THEN 0 ELSE value END, CASE WHEN stat IN {_Y} AND start <> los_at THEN from_ ELSE '' END, CASE WHEN stat IN {_Y} THEN to_ ELSE '' END) AS items FROM c4 GROUP BY 1, 2)
+        SELECT game_id, play_id, yrdln AS los, '{{"nullified":' || CASE WHEN {O.NULLIFIED} THEN 'true' ELSE 'false' END || ',"credits":[' || coalesce(items, '') || ']}}' AS label_v2, true AS round_trip, CAST(NULL AS VARCHAR) AS error
+        FROM sc LEFT JOIN items USING (game_id, play_id)""",
     "stated_yardage_values": f"""{O.scoped()}, v AS (SELECT game_id, play_id, list_sort(list_distinct(list_transform(regexp_extract_all(descr, '(?i)\\bfor\\s+(-?\\d+)\\s+yards?', 1), lambda x: CAST(x AS INT)) || CASE WHEN contains(descr, 'for no gain') THEN [0] ELSE [] END)) AS l FROM sc)
         SELECT game_id, play_id, array_to_string(l, ',') AS stated FROM v""",
 }
