@@ -31,10 +31,11 @@ _FOUND = re.compile(
     r"|(?<![\w.])(?P<ip>\d{1,3}(?:\.\d{1,3}){3})(?![\w]|\.\d)"
     r"|(?<![\w])(?P<iso>\d{4}-\d{2}-\d{2})(?![\d-]|\w)"
     r"|(?<![\w./-])(?P<day>\d{1,2}(?P<mark>[./-])\d{1,2}(?P=mark)(?:19|20)\d{2})(?![\w]|[./-]\d)"
-    r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,4}(?!\d))"
+    r"|(?<![\w+])(?P<phone>\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\d)|\+\d{1,3}[ -]?(?:\(\d{1,4}\)|\d{1,4})(?:[ -]?\d{2,4}){2,4}(?![.-]?\d))"
     r"|(?<![\w-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])"
     r"|(?<![\w.])(?P<card>\d(?:[ -]?\d){12,18})(?!\w)"
 )
+_KINDS = tuple(k for k in _FOUND.groupindex if k != "mark")
 _RADIX = {**{c: (10, 48) for c in "0123456789"}, **{chr(c): (26, 97) for c in range(97, 123)}, **{chr(c): (26, 65) for c in range(65, 91)}}
 
 
@@ -183,17 +184,19 @@ class Pseudonyms:
     def rewrite(self, text: str) -> tuple[str, dict[str, int]]:
         """The text with its valid values replaced, and how many of each kind."""
         counts: dict[str, int] = {}
-
-        def one(m: re.Match[str]) -> str:
-            kind = m.lastgroup if m.lastgroup else next(k for k, v in m.groupdict().items() if v)
-            value = m[kind]
+        out: list[str] = []
+        done = at = 0
+        while m := _FOUND.search(text, at):
+            kind = next(k for k in _KINDS if m[k] is not None)
             method: Callable[[str], str | None] = getattr(self, kind)
-            if (new := method(value)) is None:
-                return m[0]
+            new = method(m[kind])
+            if new is None:  # what is not valid may still hold or precede something that is
+                at = m.start() + 1
+                continue
             counts[kind] = counts.get(kind, 0) + 1
-            return m[0][: m.start(kind) - m.start()] + new + m[0][m.end(kind) - m.start() :]
-
-        return _FOUND.sub(one, text), counts
+            out += (text[done : m.start(kind)], new)
+            done = at = m.end(kind)
+        return "".join([*out, text[done:]]), counts
 
 
 def _rewrite(key: bytes):

@@ -269,6 +269,15 @@ def test_pii_formats():
     assert p.rewrite(new)[1] == counts
 
 
+def test_pii_neighbours():
+    """Values side by side, and a value inside what looks like a longer one."""
+    p = pii.Pseudonyms(b"k")
+    new, counts = p.rewrite("Call +1 (826) 555-4081 190.137.223.204 or +49 30 1234 5678. 10.0.0.1, 10.0.0.2 4539578763621486 4539578763621487")
+    assert counts == {"phone": 2, "ip": 3, "card": 1}
+    assert not any(x in new for x in ("555-4081", "190.137", "1234 5678", "10.0.0.", "4539578763621486"))
+    assert "4539578763621487" in new
+
+
 def test_feistel_is_a_permutation():
     f = pii.Feistel(b"key")
     for size in (1, 2, 3, 10, 97, 1000):
