@@ -31,14 +31,14 @@ def is_timeout(text: str = "descr") -> Column:
     return F.coalesce(F.col("play_type") == "no_play", F.lit(False)) & (~has(text, "(?i)penalty") | (has(text, r"^\s*Timeout\b") & ~has(text, "(?i)No Play")))
 
 
-def in_scope(extra: Iterable[str] = ()) -> Column:
-    wanted = F.coalesce(F.col("play_type").isin([*SCOPE, *extra]), F.lit(False)) | on("two_point_attempt")
-    return wanted & ~is_timeout()
+def scoped(rows: DataFrame, extra: Iterable[str] = ()) -> DataFrame:
+    """Rows of the scope that have a text. What a scan can check by itself comes first, in a form that is pushed down."""
+    wanted = F.col("play_type").isin([*SCOPE, *extra]) | (F.col("two_point_attempt") == 1)
+    return rows.where(wanted & F.col("descr").isNotNull()).where(~is_timeout())
 
 
-def scoped(rows: DataFrame, extra: Iterable[str] = ()) -> DataFrame:
-    """Rows of the scope that have a text."""
-    return rows.where(in_scope(extra) & F.col("descr").isNotNull())
+def timeouts(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("play_type") == "no_play").where(is_timeout())
 
 
 def is_nullified() -> Column:

@@ -27,7 +27,7 @@ def scope_filter_extra(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def timeout_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plays(spark, sf_dir).where(rules.is_timeout()).select("game_id", "play_id", "descr")
+    return rules.timeouts(plays(spark, sf_dir)).select("game_id", "play_id", "descr")
 
 
 def bucket_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
