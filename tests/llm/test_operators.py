@@ -383,3 +383,9 @@ def test_repeated_rows(spark, pieces):
     assert packing.pack(twice, tokens()).groupBy("doc_id").count().orderBy("doc_id").collect()[0]["count"] == 2
     assert [r["n_removed"] for r in line_dedup.line_dedup(twice).collect()] == [0, 0, 0]
     assert sharding.shard(twice, 2).count() == license_scan.license_scan(twice).count() == sentencepiece_lattice.encode(twice, pieces).count() == 3
+
+
+@pytest.mark.parametrize("operator", [quality.quality_rules, sharding.shard])
+def test_native_operators_run_no_python(docs, operator):
+    plan = operator(docs)._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow|CartesianProduct", plan.replace("LogicalRDD", ""))
