@@ -275,34 +275,32 @@ def _merge(pieces: Pieces, names: list[str], schema: pa.Schema):
         rows: list[tuple] = []
         head, spans = None, {}
 
-        def close() -> None:
+        def close(head: tuple, spans: dict[int, int]) -> None:
             whole = marked(head[0])
-            spans.pop(1, None)  # the first character's row only tells that a word begins
             ids = merge_edges(whole, spans, rank, single)
             ok = b"".join([raw[i] for i in ids]).decode("utf-8", "replace") == whole.replace(MARK, " ")
             rows.append((*head, ids, ok))
 
         def emit() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+            out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
             rows.clear()
             return out
 
         for batch in batches:
-            heads = batch.column(0)
-            first = pc.indices_nonzero(heads.is_valid()).to_pylist()
-            told = list(zip(*(batch.column(i).take(pa.array(first, pa.int64())).to_pylist() for i in range(len(names))), strict=True))
+            first = pc.indices_nonzero(batch.column(0).is_valid())
+            heads = list(zip(*(batch.column(i).take(first).to_pylist() for i in range(len(names))), strict=True))
             span, ids = batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist()
-            for k, at in enumerate([0, *first]):
-                if k:
-                    if head is not None:
-                        close()
-                    head, spans = told[k - 1], {}
-                end = first[k] if k < len(first) else len(batch)
-                spans.update(zip(span[at:end], ids[at:end], strict=True))
+            bounds = [*first.to_pylist(), len(span)]
+            spans.update(zip(span[: bounds[0]], ids[: bounds[0]], strict=True))
+            for k, next_head in enumerate(heads):
+                if head is not None:
+                    close(head, spans)
+                a, z = bounds[k] + 1, bounds[k + 1]  # the first row only tells that a word begins
+                head, spans = next_head, dict(zip(span[a:z], ids[a:z], strict=True))
             if len(rows) > 8192:
                 yield emit()
         if head is not None:
-            close()
+            close(head, spans)
         if rows:
             yield emit()
 
@@ -374,7 +372,7 @@ def _press(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema) as writer:
         writer.write_batch(batch)
-    return zstandard.ZstdCompressor(level=3).compress(sink.getvalue().to_pybytes())
+    return zstandard.ZstdCompressor(level=6).compress(sink.getvalue().to_pybytes())
 
 
 def _unpress(blob: bytes) -> Iterator[pa.RecordBatch]:
@@ -459,15 +457,16 @@ def encode(docs: DataFrame, pieces: Pieces, cache_words: int = CACHE_WORDS, chun
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     counted = rows.select("text").mapInArrow(_frequent(LEAST_SEEN, SLICE_WORDS), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     common = counted.orderBy(F.desc("n"), "word").limit(cache_words).select("word")
-    ids = stash(encode_words(stash(common, "common-words"), pieces), "common-ids")
+    ids = stash(encode_words(stash(common, "common-words").repartition("word"), pieces), "common-ids")
+    bounded = ids.select("word", "ids", "ok").toArrow()  # at most cache_words short rows
     known: dict[str, bytes] = {}
     odd: dict[str, bool] = {}
     held = 0
-    for r in ids.toLocalIterator():  # bounded by cache_words and CACHE_BYTES
-        known[r["word"]] = np.array(r["ids"], dtype="<u4").tobytes()
-        if not r["ok"]:
-            odd[r["word"]] = False
-        held += len(r["word"]) + 4 * len(r["ids"])
+    for word, found, ok in zip(*(bounded[c].to_pylist() for c in ("word", "ids", "ok")), strict=True):
+        known[word] = struct.pack(f"<{len(found)}I", *found)
+        if not ok:
+            odd[word] = False
+        held += len(word) + 4 * len(found)
         if held > CACHE_BYTES:
             break
     shared = spark.sparkContext.broadcast({"ids": known, "": odd})
