@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallymark.plans.shipping import ship
+
 EPS = 1e-9
 
 
@@ -44,39 +49,53 @@ def decision(checks: DataFrame) -> DataFrame:
     return checks.groupBy("model").agg(F.bool_and("passed").alias("promote"), F.array_join(F.array_sort(F.collect_list(F.when(~F.col("passed"), F.col("check")))), ",").alias("failed"))
 
 
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Logs, whole and in order, to states. Held at a time: a batch, and one adapter's stack and status."""
+    at, stack, status = None, [], {}
+
+    def rows() -> list[tuple]:
+        return [(at, v, s, bool(stack) and v == stack[-1]) for v, s in status.items()]
+
+    def batch_of(found: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+        cols = zip(*found, strict=True) if found else [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (kind, pa.string(), pa.string(), pa.bool_()), strict=True)], ["adapter", "version", "status", "is_current"])
+
+    kind = None
+    for batch in batches:
+        kind, out = batch.schema.field(0).type, []
+        for adapter, action, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if adapter != at:
+                out += rows()
+                at, stack, status = adapter, [], {}
+            if action == "register" and v is not None:
+                status.setdefault(v, "registered")
+            elif action == "promote" and v in status:
+                if stack:
+                    status[stack[-1]] = "superseded"
+                stack.append(v)
+                status[v] = "promoted"
+            elif action == "reject" and status.get(v) == "registered":
+                status[v] = "rejected"
+            elif action == "rollback" and len(stack) > 1:
+                status[stack.pop()] = "rolled_back"
+                status[stack[-1]] = "promoted"
+        yield batch_of(out, kind)
+    if kind is not None:
+        yield batch_of(rows(), kind)
+
+
 def states(events: DataFrame) -> DataFrame:
     """(adapter, version, status, is_current): what the log amounts to, folded in order for each adapter.
 
     events: adapter, at, action (register, promote, reject, rollback), version. Promotion supersedes the current version;
     rollback takes the last promoted one off the stack, if there are two at least, and the one below is current again; rejection
-    touches registered versions only. An adapter's log is small; adapters are folded side by side.
+    touches registered versions only. Logs are sorted, not gathered, and folded batch by batch, so a task holds an
+    adapter's state but never its log.
     """
-    logs = events.groupBy("adapter").agg(F.array_sort(F.collect_list(F.struct("at", "action", "version"))).alias("log"))
-    empty = F.struct(F.array().cast("array<string>").alias("stack"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")).alias("status"))
-
-    def put(status: Column, key: Column, value: str) -> Column:
-        rest = F.map_filter(status, lambda k, _: k != key)
-        return F.map_concat(rest, F.map_from_arrays(F.array(key), F.array(F.lit(value))))
-
-    def step(state: Column, e: Column) -> Column:
-        stack, status, v = state["stack"], state["status"], e["version"]
-        top = F.when(F.size(stack) > 0, F.element_at(stack, -1))
-        below = F.when(F.size(stack) > 1, F.element_at(stack, -2))
-        shape = lambda s, m: F.struct(s.alias("stack"), m.alias("status"))
-        known = F.map_contains_key(status, v)
-        promoted = put(F.when(top.isNull(), status).otherwise(put(status, F.coalesce(top, v), "superseded")), v, "promoted")
-        rolled = put(put(status, F.coalesce(top, F.lit("")), "rolled_back"), F.coalesce(below, F.lit("")), "promoted")
-        return (
-            F.when((e["action"] == "register") & ~known, shape(stack, put(status, v, "registered")))
-            .when((e["action"] == "promote") & known, shape(F.concat(stack, F.array(v)), promoted))
-            .when((e["action"] == "reject") & (F.element_at(status, v) == "registered"), shape(stack, put(status, v, "rejected")))
-            .when((e["action"] == "rollback") & below.isNotNull(), shape(F.slice(stack, 1, F.greatest(F.size(stack) - 1, F.lit(0))), rolled))
-            .otherwise(state)
-        )
-
-    folded = logs.withColumn("state", F.aggregate("log", empty, step))
-    current = F.when(F.size("state.stack") > 0, F.element_at("state.stack", -1))
-    return folded.select("adapter", current.alias("cur"), F.explode("state.status").alias("version", "status")).select("adapter", "version", "status", F.coalesce(F.col("version") == F.col("cur"), F.lit(False)).alias("is_current"))
+    ship(events.sparkSession)
+    logs = events.select("adapter", "at", "action", F.col("version").cast("string").alias("version")).repartition("adapter").sortWithinPartitions("adapter", "at", "action", "version")
+    kind = events.schema["adapter"].dataType.simpleString()
+    return logs.select("adapter", "action", "version").mapInArrow(_fold, f"adapter {kind}, version string, status string, is_current boolean")
 
 
 def current(events: DataFrame) -> DataFrame:

@@ -191,3 +191,48 @@ def test_training(spark):
     evals = spark.createDataFrame([("r", s, v) for s, v in enumerate([1, 3, 2, 2, 5, 4, 4, 4, 9])], "run string, step int, v int")
     got = training.early_stop(evals, "run", "step", "v", 3).orderBy("step").collect()
     assert [r["bad"] for r in got] == [0, 0, 1, 2, 0, 1, 2, 3] and got[-1]["stop"]
+
+
+def brute_states(log):
+    """Each adapter's events one after the other. log: (adapter, at, action, version)."""
+    out = {}
+    for adapter in {e[0] for e in log}:
+        stack, status = [], {}
+        for _, _, action, v in sorted(e for e in log if e[0] == adapter):
+            if action == "register" and v not in status:
+                status[v] = "registered"
+            elif action == "promote" and v in status:
+                status |= {stack[-1]: "superseded"} if stack else {}
+                status[v] = "promoted"
+                stack = [*stack, v]
+            elif action == "reject" and status.get(v) == "registered":
+                status[v] = "rejected"
+            elif action == "rollback" and len(stack) > 1:
+                status[stack[-1]] = "rolled_back"
+                status[stack[-2]] = "promoted"
+                stack = stack[:-1]
+        out |= {(adapter, v): (s, bool(stack) and v == stack[-1]) for v, s in status.items()}
+    return out
+
+
+def test_registry_folds_long_logs(spark):
+    """A long log and many short ones, out of order, against brute force; no log is gathered."""
+    import random
+
+    rng = random.Random(7)
+    log = [("long" if k % 2 else f"a{k % 50}", k, rng.choice(["register", "promote", "promote", "reject", "rollback"]), f"v{rng.randint(1, 9):04d}") for k in range(6000)]
+    states = registry.states(spark.createDataFrame(rng.sample(log, len(log)), "adapter string, at long, action string, version string").repartition(7))
+    assert {(r["adapter"], r["version"]): (r["status"], r["is_current"]) for r in states.collect()} == brute_states(log)
+    assert "collect_list" not in states._jdf.queryExecution().toString()
+
+
+def test_registry_state_reads_all_events(spark, tmp_path):
+    """Later events and other users count too."""
+    from tallymark.plans import catalog_eval
+
+    events = [(k, k % 60) for k in range(5800, 6400)]
+    spark.createDataFrame(events, "event_id long, user_id long").write.parquet(str(tmp_path / "events.parquet"))
+    actions = ["register", "register", "promote", "reject", "rollback"]
+    log = [(f"a{u}", k, actions[k % 5], f"v{1 + k % 4:04d}") for k, u in events]
+    got = {(r["adapter"], r["version"]): (r["status"], r["is_current"]) for r in catalog_eval.registry_state(spark, str(tmp_path)).collect()}
+    assert got == brute_states(log)
