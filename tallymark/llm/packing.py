@@ -1,8 +1,9 @@
 """Packing documents into sequences: first-fit decreasing over a tournament tree, in randomised groups of documents.
 
 A document is its token ids and one separator. Whole-capacity pieces are cut off its front; the remainder is one more piece.
-Only lengths, not ids, are shuffled: a piece's checksum is taken where the text is tokenised. Groups are dealt by a hash of
-the document, their number follows the row count, and each group is packed alone, so no task sees more than its group.
+Pieces are shuffled with their ids, and come out with ids, sequence and offset; checksums are of the ids that come out. Groups
+are dealt by a hash of the document, their number follows the rows and the bytes of text, and each group is packed alone,
+so no task sees more than its group.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from tallymark.llm._shared import session, text_bytes
 
 CAPACITY, SEPARATOR, GROUP_DOCS = 1024, 0, 4096
+#: Text of a group on average, so that long documents make more groups, not larger ones.
+GROUP_BYTES = 64 << 20
 #: First bytes of UTF-8 characters beyond U+024F. Such texts go to the slower tokenizer, whose idea of a letter rules.
 _BEYOND_LATIN = re.compile(rb"[\xca-\xff]")
 #: Runs longer than this also go there: its merging is not quadratic in a run's length.
@@ -106,7 +109,8 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple
 
 
 def _pieces(tokens: Tokens, capacity: int, separator: int):
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    names = ["doc_id", "start", "length", "ids", "doc_tokens"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,35 +118,47 @@ def _pieces(tokens: Tokens, capacity: int, separator: int):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.array([*tokens(text), separator], dtype="<u4")
                 n = len(ids)
-                out += [(doc_id, a, min(capacity, n - a), zlib.crc32(ids[a : a + capacity].tobytes()), n) for a in range(0, n, capacity)]
+                out += [(doc_id, a, min(capacity, n - a), ids[a : a + capacity].tobytes(), n) for a in range(0, n, capacity)]
             cols = zip(*out, strict=True) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
     return run
 
 
+def _ints(pieces: pa.ChunkedArray, lengths: np.ndarray) -> pa.ListArray:
+    """Little-endian 32-bit ids as lists."""
+    values = np.frombuffer(b"".join(x.as_py() for x in pieces), dtype="<i4")
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)), pa.array(values))
+
+
 def _pack(capacity: int):
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
+
     def run(pieces: pa.Table) -> pa.Table:
+        pieces = pieces.append_column("ids_crc32", pa.array([zlib.crc32(x.as_buffer()) for x in pieces["ids"]], pa.int64()))
         order = pc.sort_indices(pieces, [("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
         pieces = pieces.take(order)
-        bins, offsets = first_fit_decreasing(pieces["length"].to_numpy(), capacity)
-        ids = (pieces["pack"].to_numpy().astype(np.int64) << 32) + bins
-        return pieces.drop_columns(["pack"]).append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offsets))
+        lengths = pieces["length"].to_numpy()
+        bins, offsets = first_fit_decreasing(lengths, capacity)
+        sequences = (pieces["pack"].to_numpy().astype(np.int64) << 32) + bins
+        found = pieces.append_column("sequence_id", pa.array(sequences)).append_column("offset", pa.array(offsets))
+        return found.drop_columns(["ids"]).append_column("ids", _ints(pieces["ids"], lengths)).select(names)
 
     return run
 
 
 def pack(docs: DataFrame, tokens: Tokens, capacity: int = CAPACITY, separator: int = SEPARATOR, group_docs: int = GROUP_DOCS) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids.
 
     Reads doc_id and text; other columns are ignored. A null or empty text is one piece, the separator alone. A sequence is
-    the pieces of one sequence_id, laid without gaps from offset 0. Rows that repeat an id are packed each for itself. The
+    the ids of the pieces of one sequence_id, laid without gaps from offset 0. Rows that repeat an id are packed each for itself. The
     result depends on the rows alone, not on their order or on how they are partitioned. An empty table gives no rows.
     """
     session(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
-    groups = max(1, -(-docs.select("doc_id").count() // group_docs))
-    pieces = rows.mapInArrow(_pieces(tokens, capacity, separator), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    size = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    groups = max(1, -(-size["n"] // group_docs), -(-(size["bytes"] or 0) // GROUP_BYTES))
+    pieces = rows.mapInArrow(_pieces(tokens, capacity, separator), "doc_id long, start long, length long, ids binary, doc_tokens long")
     dealt = pieces.withColumn("pack", F.pmod(F.xxhash64("doc_id", "doc_tokens"), F.lit(groups)))
-    out = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    out = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
     return dealt.groupBy("pack").applyInArrow(_pack(capacity), out)

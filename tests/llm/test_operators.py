@@ -83,6 +83,30 @@ def test_packing(docs, texts):
         assert at <= 1024
 
 
+def test_packed_sequences_hold_the_ids(docs, texts):
+    """The sequences, laid out from the pieces' ids, hold every document's ids."""
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    laid, found = defaultdict(dict), defaultdict(list)
+    for r in packing.pack(docs, tokens(), group_docs=64).collect():
+        assert zlib.crc32(np.array(r["ids"], dtype="<u4").tobytes()) == r["ids_crc32"]
+        laid[r["sequence_id"]] |= {r["offset"] + k: x for k, x in enumerate(r["ids"])}
+        found[r["doc_id"]].append((r["start"], r["sequence_id"], r["offset"], r["length"]))
+    assert all(sorted(s) == list(range(len(s))) and len(s) <= 1024 for s in laid.values())
+    for i, t in enumerate(texts):
+        ids = [laid[s][at + k] for _, s, at, n in sorted(found[i]) for k in range(n)]
+        assert ids == [*exact.encode(t or "", add_special_tokens=False).ids, 0]
+
+
+def test_packing_groups_follow_the_bytes(docs, monkeypatch):
+    """Few long documents are not one group."""
+    monkeypatch.setattr(packing, "GROUP_BYTES", 4096)
+    assert len({r["sequence_id"] >> 32 for r in packing.pack(docs, tokens()).collect()}) > 10
+
+
 def test_first_fit_decreasing_is_first_fit():
     rng = np.random.default_rng(1)
     lengths = rng.integers(1, 1025, 500)
