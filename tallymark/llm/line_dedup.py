@@ -3,7 +3,7 @@
 A line is the set of its words (ASCII letters lower-cased, other ASCII but digits as blanks). Words are ordered by rarity: by
 how often their hash bucket occurs in the whole corpus (2^22 buckets, a byte each, so the order fits any task), then by
 hash. Two lines of Jaccard at least 4/5 share a word among the first few of either, so each class of equal lines is posted
-under its prefix words. Where postings meet, the length filter, the positional filter and a parity filter (words that differ
+under its prefix words, at its earliest place. Where postings meet, the length filter, the positional filter and a parity filter (words that differ
 flip bits, so lines whose parity words differ in too many bits have too many different words) leave few pairs, and these are
 verified on their words.
 
@@ -145,8 +145,8 @@ def _prefixes(level: np.ndarray):
             offsets = np.concatenate(([0], np.cumsum(size)))
             at = np.repeat(sets.starts - offsets[:-1], size) + np.arange(offsets[-1])
             words = pa.array(sets.h[at].view(np.int64), mask=sets.rank[at] <= 1)
-            arrays = [pa.array(ids[sets.lines]), pa.array(numbers[sets.lines]), pa.array(sets.n.astype(np.int32)), pa.array(sets.ck.view(np.int64)), pa.array(sets.parity.view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), words)]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "line", "n", "ck", "parity", "prefix"])
+            arrays = [pa.array(ids[sets.lines]), pa.array(numbers[sets.lines]), pa.array(sets.n.astype(np.int32)), pa.array(sets.ck.view(np.int64)), pa.array(sets.parity.view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), words), pa.array(size > 0)]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "line", "n", "ck", "parity", "prefix", "posted"])
 
     return run
 
@@ -257,11 +257,20 @@ def _bounded(side: DataFrame) -> DataFrame:
     return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
 
 
-def _similar(rows: DataFrame, lines: DataFrame, level: np.ndarray) -> DataFrame:
+def _at_first(lines: DataFrame, classes: DataFrame) -> DataFrame:
+    """The lines that are posted, each at its class's earliest place; tasks that read out of order have met it elsewhere."""
+    late = classes.where("late").select("ck", "parity", F.col("first.doc_id").alias("doc_id1"), F.col("first.line").alias("line1"))
+    if late.isEmpty():
+        return lines.where("posted")
+    placed = lines.where("posted").join(_bounded(late), ["ck", "parity"], "left")
+    return placed.withColumns({c: F.coalesce(f"{c}1", c) for c in ("doc_id", "line")})
+
+
+def _similar(rows: DataFrame, lines: DataFrame, classes: DataFrame, level: np.ndarray) -> DataFrame:
     """(ck, parity) of the classes that have a similar class that comes earlier."""
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(level)
-    posted = lines.select("doc_id", "line", "n", "ck", "parity", F.posexplode("prefix").alias("pos", "word")).where("word is not null").withColumn("probe", F.lit(True))
+    posted = _at_first(lines, classes).select("doc_id", "line", "n", "ck", "parity", F.posexplode("prefix").alias("pos", "word")).where("word is not null").withColumn("probe", F.lit(True))
     kinds = "ck long, parity long, doc_id long, line int, ck2 long, parity2 long, doc_id2 long, line2 int, more boolean"
     done, most = None, CANDIDATES
     while True:
@@ -298,9 +307,11 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     session(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
     level = _rarity(rows)
-    lines = stash(rows.mapInArrow(_prefixes(level), f"{_LINE}, prefix array<long>"), "lines")
-    near = _similar(rows, lines, level).withColumn("near", F.lit(True))
-    classes = lines.groupBy("ck", "parity").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("copies"))
+    lines = stash(rows.mapInArrow(_prefixes(level), f"{_LINE}, prefix array<long>, posted boolean"), "lines")
+    place = F.struct("doc_id", "line")
+    places = lines.groupBy("ck", "parity").agg(F.min(place).alias("first"), F.min(F.when(F.col("posted"), place)).alias("met"), F.count("*").alias("copies"))
+    classes = stash(places.select("ck", "parity", "first", "copies", F.coalesce(F.col("met") != F.col("first"), F.lit(False)).alias("late")), "line-classes")
+    near = _similar(rows, lines, classes, level).withColumn("near", F.lit(True))
     known = classes.join(near, ["ck", "parity"], "left").where("copies > 1 or near")
     verdicts = lines.select("doc_id", "line", "ck", "parity").join(known, ["ck", "parity"])
     gone = verdicts.where(F.col("near").isNotNull() | (F.struct("doc_id", "line") != F.col("first")))

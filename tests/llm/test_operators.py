@@ -267,6 +267,33 @@ def test_line_dedup(docs, texts):
         assert clean[i] == (t if not wanted[i] else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in wanted[i]))
 
 
+def brute_removed(rows):
+    """Lines that an equal or similar line precedes by (doc_id, line). rows: id, text."""
+    seen, removed = [], defaultdict(list)
+    for i, t in sorted(rows):
+        for k, line in enumerate((t or "").encode().translate(line_dedup._TABLE).split(b"\n")):
+            if words := frozenset(line.split()):
+                if any(5 * len(s & words) >= 4 * len(s | words) for s in seen):
+                    removed[i].append(k)
+                seen.append(words)
+    return {i: removed[i] for i, _ in rows}
+
+
+@pytest.mark.parametrize("limit", [0, 1_000_000])
+def test_line_dedup_of_rows_out_of_order(spark, texts, limit, monkeypatch):
+    """One task reads a class late first; the line before it stays, and the similar one after it goes. By broadcast and shuffle."""
+    import random
+
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", limit)
+    a, b = "one two three four five six seven eight nine ten", "one two three four five six seven eight nine eleven"
+    rows = [(100, a), (5, a), (50, b)]
+    read = lambda r: {x["doc_id"]: list(x["removed"]) for x in line_dedup.line_dedup(spark.createDataFrame(r, "doc_id long, text string").coalesce(1)).collect()}
+    assert read(rows) == brute_removed(rows) == {5: [], 50: [0], 100: [0]}
+    more = list(enumerate(texts))
+    random.Random(1).shuffle(more)
+    assert read(more) == brute_removed(more)
+
+
 def test_line_dedup_comes_back_for_classes_whose_first_candidates_fail(docs, monkeypatch):
     """Without the parity filter nearly all first candidates are wrong; the result is the same."""
     before = {r["doc_id"]: r["removed"] for r in line_dedup.line_dedup(docs).collect()}
