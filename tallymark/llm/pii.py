@@ -181,6 +181,18 @@ class Pseudonyms:
         body = f"{self.permute(int(digits[:-1]), 10 ** (len(digits) - 1), f'card:{len(digits)}'):0{len(digits) - 1}d}"
         return _refill(found, f"{body}{luhn(body)}")
 
+    @staticmethod
+    def _parts(kind: str, found: str) -> Iterator[str]:
+        """All of what is found, then what ends before a separator in it: other groups may follow a card or an IBAN."""
+        yield found
+        if kind == "card":
+            for m in reversed([*re.finditer("[ -]", found)]):
+                if sum(map(str.isdigit, found[: m.start()])) >= 13:
+                    yield found[: m.start()]
+        elif kind == "iban" and (n := IBAN.get(found[:2])):
+            if m := re.match(rf"(?: ?[A-Z0-9]){{{n}}}(?= )", found):
+                yield m[0]
+
     def rewrite(self, text: str) -> tuple[str, dict[str, int]]:
         """The text with its valid values replaced, and how many of each kind."""
         counts: dict[str, int] = {}
@@ -189,13 +201,13 @@ class Pseudonyms:
         while m := _FOUND.search(text, at):
             kind = next(k for k in _KINDS if m[k] is not None)
             method: Callable[[str], str | None] = getattr(self, kind)
-            new = method(m[kind])
+            part, new = next(((part, new) for part in self._parts(kind, m[kind]) if (new := method(part)) is not None), ("", None))
             if new is None:  # what is not valid may still hold or precede something that is
                 at = m.start() + 1
                 continue
             counts[kind] = counts.get(kind, 0) + 1
             out += (text[done : m.start(kind)], new)
-            done = at = m.end(kind)
+            done = at = m.start(kind) + len(part)
         return "".join([*out, text[done:]]), counts
 
 

@@ -329,6 +329,30 @@ def test_pii_neighbours():
     assert "4539578763621487" in new
 
 
+@pytest.mark.parametrize("card", ["4539578763621486", "4539 5787 6362 1486", "4539-5787-6362-1486"])
+@pytest.mark.parametrize("after", [" 124", " 12/27", " 12-27", " 007 12", " CVV", ""])
+def test_pii_card_before_numbers(card, after):
+    new, counts = pii.Pseudonyms(b"k").rewrite(f"card {card}{after}.")
+    assert counts == {"card": 1}
+    assert card not in new and new.endswith(f"{after}.")
+    assert new == pii.Pseudonyms(b"k").rewrite(f"card {card}")[0] + f"{after}."
+
+
+@pytest.mark.parametrize("iban", ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "NO9386011117947"])
+@pytest.mark.parametrize("after", [" BIC", " BIC COBADEFFXXX", " 123", " A B C 1 2 3", " FOR ALL OF THESE CAPITALS AND MORE", ""])
+def test_pii_iban_before_capitals(iban, after):
+    new, counts = pii.Pseudonyms(b"k").rewrite(f"to {iban}{after}.")
+    assert counts == {"iban": 1}
+    assert iban not in new and new.endswith(f"{after}.")
+    assert new == pii.Pseudonyms(b"k").rewrite(f"to {iban}")[0] + f"{after}."
+
+
+def test_pii_goes_on_behind_a_shorter_match():
+    new, counts = pii.Pseudonyms(b"k").rewrite("4539578763621486 124 DE89370400440532013000 NO9386011117947 4539578763621487 12")
+    assert counts == {"card": 1, "iban": 2}
+    assert "4539578763621487 12" in new
+
+
 def test_feistel_is_a_permutation():
     f = pii.Feistel(b"key")
     for size in (1, 2, 3, 10, 97, 1000):
