@@ -56,7 +56,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     pieces = sentencepiece_lattice.Pieces.load(public_tokenizers.path(PIECES))
-    return sentencepiece_lattice.encode(table(spark, sf_dir, "documents"), pieces, with_ids=False)
+    return sentencepiece_lattice.encode(table(spark, sf_dir, "documents"), pieces)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

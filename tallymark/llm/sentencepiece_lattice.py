@@ -436,9 +436,9 @@ def _assemble(pieces: Pieces, cache: dict[str, tuple[bytes, bool]], with_ids: bo
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     words_ = words_of(text)
                     data = b"".join([known.get(w) or own.get(w) or long_word(w) for w in words_])
-                    same = not bad or bad.isdisjoint(words_)
-                    ids = [np.frombuffer(data, dtype="<u4").astype(np.int32)] if with_ids else []
-                    rows.append((doc_id, len(words_), len(data) // 4, zlib.crc32(data), same, *ids))
+                    ids = np.frombuffer(data, dtype="<i4")
+                    same = bad.isdisjoint(words_) and decode(ids.tolist(), raw) == text.replace(MARK, " ")
+                    rows.append((doc_id, len(words_), len(ids), zlib.crc32(data), same, *([ids] * with_ids)))
         return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
     return run
@@ -447,8 +447,8 @@ def _assemble(pieces: Pieces, cache: dict[str, tuple[bytes, bool]], with_ids: bo
 def encode(docs: DataFrame, pieces: Pieces, cache_words: int = CACHE_WORDS, chunk_docs: int = CHUNK_DOCS, with_ids: bool = True) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_pieces, ids_crc32 (ids as little-endian unsigned 32-bit), round_trip, ids.
 
-    Reads doc_id and text; other columns are ignored. A null text counts as empty, which has no pieces. round_trip: the decoded
-    ids are the text, with word marks in it as blanks. Rows that repeat an id are encoded each for itself. Without with_ids
+    Reads doc_id and text; other columns are ignored. A null text counts as empty, which has no pieces. round_trip: the document's
+    ids are decoded and are the text, with word marks in it as blanks. Rows that repeat an id are encoded each for itself. Without with_ids
     the ids stay behind. An empty table gives no rows.
     """
     spark = session(docs)

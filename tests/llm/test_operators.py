@@ -388,6 +388,15 @@ def test_sentencepiece_is_the_library(docs, texts, pieces, cache):
     assert {r["doc_id"]: r["text"] for r in sentencepiece_lattice.decoded(found, pieces).collect()} == {i: t or "" for i, t in enumerate(texts)}
 
 
+def test_sentencepiece_query_gives_ids_that_decode(docs, texts, pieces, spark, tmp_path):
+    from tallymark.llm.queries import op9_sentencepiece
+
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    found = op9_sentencepiece(spark, str(tmp_path))
+    assert all(r["round_trip"] and zlib.crc32(np.array(r["ids"], dtype="<u4").tobytes()) == r["ids_crc32"] for r in found.collect())
+    assert {r["doc_id"]: r["text"] for r in sentencepiece_lattice.decoded(found, pieces).collect()} == {i: t or "" for i, t in enumerate(texts)}
+
+
 def test_unigram_lattice_is_viterbi(spark):
     table = {"▁": -3.0, "▁a": -2.0, "a": -2.5, "b": -2.2, "ab": -3.1, "▁ab": -4.4, "ba": -2.9, "c": -5.0}
     pieces = sentencepiece_lattice.Pieces([*table, "<unk>"], [*table.values(), 0.0], [True] * len(table) + [False], sentencepiece_lattice.UNIGRAM, None, len(table))
