@@ -294,12 +294,36 @@ def test_line_dedup_of_rows_out_of_order(spark, texts, limit, monkeypatch):
     assert read(more) == brute_removed(more)
 
 
-def test_line_dedup_comes_back_for_classes_whose_first_candidates_fail(docs, monkeypatch):
-    """Without the parity filter nearly all first candidates are wrong; the result is the same."""
-    before = {r["doc_id"]: r["removed"] for r in line_dedup.line_dedup(docs).collect()}
-    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 0)
-    after = {r["doc_id"]: r["removed"] for r in line_dedup.line_dedup(docs).collect()}
-    assert before == after
+def test_line_dedup_of_clashing_and_null_ids(spark):
+    """Rows that share an id are judged each for itself; rows without id come last."""
+    a = "alpha beta gamma delta epsilon"
+    rows = [(1, a), (2, a + "\nunique words stand here"), (2, "wholly other words in here"), (None, a + "\nfresh line of four"), (None, "fresh line of four")]
+    got = {(r["doc_id"], r["text"]) for r in line_dedup.deduplicated_rows(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    last = {t for i, t in got if i is None}
+    assert got - {(None, t) for t in last} == {(1, a), (2, "unique words stand here"), (2, "wholly other words in here")}
+    assert last in ({"fresh line of four", ""}, {"", "fresh line of four"}) and len([1 for i, _ in got if i is None]) == 2
+
+
+@pytest.mark.parametrize("probed", [True, False])
+def test_line_dedup_of_a_word_in_every_line(spark, probed, monkeypatch):
+    """One word in all lines, its list dealt in cells; groups of near copies around the threshold, so that first candidates fail."""
+    import random
+
+    rng = random.Random(8)
+    monkeypatch.setattr(line_dedup, "BLOCK", 8)
+    monkeypatch.setattr(line_dedup, "POSTINGS", 64)
+    monkeypatch.setattr(line_dedup, "PAIRS", 50)
+    if not probed:
+        monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 0)
+    words = [f"w{k}" for k in range(60)]
+    lines = [" ".join(["common", *rng.sample(words[:6], 4)]) for _ in range(60)]
+    for _ in range(6):
+        base = rng.sample(words, 40)
+        lines += [" ".join(["common", *(w if rng.random() > 0.1 else rng.choice(words) for w in base)]) for _ in range(20)]
+    rng.shuffle(lines)
+    rows = [(i, "\n".join(lines[3 * i : 3 * i + 3])) for i in range(len(lines) // 3)]
+    got = {r["doc_id"]: list(r["removed"]) for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_removed(rows)
 
 
 def test_pii_formats():
