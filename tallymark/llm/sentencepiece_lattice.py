@@ -1,15 +1,18 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
 Words (a run of word marks and what follows up to the next mark; no piece crosses one) are taken from the corpus once each.
-Their substrings up to the longest piece are exploded, equi-joined to the piece table, and grouped by word; a fold over a word's
-edges finds the segmentation. For a unigram model that is Viterbi's: the best path to each position, with the higher-order
-`aggregate`. For a byte-pair model that path is not SentencePiece's own (in a sample of 41,888 words of these corpora it differed
-in 58 %), so the fold merges the best-scored pair of neighbours first, as the library does, on the same lattice; it runs in
-Arrow batches, since as an `aggregate` it took 0.4 ms of a CPU for each word.
+Their substrings up to the longest piece are exploded, equi-joined to the piece table, and grouped by word; the higher-order
+`aggregate` folds a word's edges to its segmentation. For a unigram model that is Viterbi's: the best path to each position. For a
+byte-pair model that path is not SentencePiece's own (in a sample of 41,888 words of these corpora it differed in 58 %), so the fold
+goes through the edges from the best score to the worst, and lays each that joins two neighbours which stand at that moment. That is
+what the library's merging does, as long as no piece is made of a part with a worse score than its own: two neighbours make up a
+piece only out of its own characters, so if each piece comes out of its own characters in that order, every word does. The few pieces
+that don't are found when a model is loaded, and words that hold one are merged in place, as are words beyond MAX_WORD characters,
+whose lattice would be long.
 
 Frequent words, at most CACHE_WORDS, are encoded first and go to all tasks. The rest is sent once, from the documents to their
-words and back to chunks of documents, where each text is put together. Words beyond MAX_WORD characters would make the
-lattice long; they are merged in place with a heap.
+words and back to chunks of documents, where each text is put together. A chunk is a stretch of an input partition. Where a partition
+is read in another order the second time, words may be missing in a chunk: those are merged in place, to the same ids.
 """
 
 from __future__ import annotations
@@ -23,19 +26,21 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.llm._shared import session, stash
 
 MARK = "▁"
-MAX_WORD, CACHE_WORDS, CACHE_BYTES, CHUNK_DOCS = 48, 300_000, 8 << 20, 8192
+MAX_WORD, CACHE_WORDS, CACHE_BYTES, CHUNK_BYTES = 48, 300_000, 8 << 20, 24 << 20
 #: A map task reports a word to the frequency count from so many occurrences in a slice of its documents.
 LEAST_SEEN, SLICE_WORDS = 4, 1 << 19
-#: Arrow batches while lattices are folded; entries that a task gathers before it sends them to chunks.
-EDGE_ROWS, EDGE_BYTES, CHUNK_ENTRIES = 16384, 4 << 20, 1 << 19
+#: Arrow batches of words; entries that a task gathers before it sends them to chunks; words whose edges a task holds in a hash table.
+WORD_ROWS, WORD_BYTES, CHUNK_ENTRIES, HELD_WORDS = 16384, 4 << 20, 1 << 18, 1 << 14
+#: Where an edge keeps its score's rank, start and end, and its id; and what marks the bytes of a character that is no piece.
+_RANK, _START, _END, _OTHER = 40, 32, 24, 1 << 36
 UNIGRAM, BPE = 1, 2
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -72,6 +77,28 @@ class Pieces:
     def __init__(self, pieces: Sequence[str], scores: Sequence[float], plain: Sequence[bool], kind: int, bytes_at: int | None, unknown: int) -> None:
         self.pieces, self.scores, self.plain, self.kind, self.bytes_at, self.unknown = list(pieces), list(scores), list(plain), kind, bytes_at, unknown
         self.longest = max((len(p) for p, ok in zip(pieces, plain, strict=True) if ok), default=1)
+        self.odd = self._odd() if kind == BPE else ()
+
+    def table(self) -> dict[str, tuple[float, int]]:
+        """Score and id of each piece."""
+        return {p: (s, i) for i, (p, s, ok) in enumerate(zip(self.pieces, self.scores, self.plain, strict=True)) if ok}
+
+    def _odd(self) -> tuple[str, ...]:
+        """Pieces that one pass over the edges, best score first, doesn't make of their characters."""
+        table, odd = self.table(), []
+        for piece in table:
+            n, ends = len(piece), [*range(1, len(piece) + 1), 0]
+            spans = ((a, z) for a in range(n) for z in range(a + 2, min(n, a + self.longest) + 1))
+            for _, a, z in sorted((-table[piece[a:z]][0], a, z) for a, z in spans if piece[a:z] in table):
+                if ends[a] and ends[ends[a]] == z:
+                    ends[ends[a]], ends[a] = 0, z
+            if ends[0] < n:
+                odd.append(piece)
+        return tuple(odd)
+
+    def in_place(self, word: str) -> bool:
+        """Whether a word stays out of the lattice."""
+        return len(word) > MAX_WORD or any(o in marked(word) for o in self.odd)
 
     @classmethod
     def load(cls, path: str) -> Pieces:
@@ -86,14 +113,10 @@ class Pieces:
         return cls([sp.id_to_piece(i) for i in range(n)], [sp.get_score(i) for i in range(n)], [not x for x in special], trainer.get(3, UNIGRAM), first_byte, sp.unk_id())
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        """piece, id, score: bounded by the vocabulary."""
-        rows = pa.table({"piece": self.pieces, "id": pa.array(range(len(self.pieces)), pa.int32()), "score": pa.array(self.scores, pa.float64())})
-        return spark.createDataFrame(rows.filter(pa.array(self.plain)))
-
-    def ranks(self) -> list[int]:
-        """The position of each id's score among all scores, 0 the best; equal scores share it."""
-        places = {s: i for i, s in enumerate(sorted(set(self.scores), reverse=True))}
-        return [places[s] for s in self.scores]
+        """piece, id, score, and the score's rank, 0 the best: bounded by the vocabulary."""
+        ranks = {s: i for i, s in enumerate(sorted(set(self.scores), reverse=True))}
+        columns = {"id": pa.array(range(len(self.pieces)), pa.int32()), "score": pa.array(self.scores, pa.float64()), "rank": pa.array([ranks[s] for s in self.scores], pa.int64())}
+        return spark.createDataFrame(pa.table({"piece": self.pieces} | columns).filter(pa.array(self.plain)))
 
     def raw(self) -> list[bytes]:
         """What each id decodes to, marks as blanks."""
@@ -179,7 +202,7 @@ def _viterbi_long(word: str, pieces: Pieces, table: dict[str, tuple[float, int]]
 
 
 def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """words with s, l, id, score: the pieces at each place of `marked`, and its other characters without id.
+    """words with s, l, piece, id, score, rank: the pieces at each place of `marked`, and its other characters without id.
 
     All rows of a word stay together and in order: nothing is shuffled, as the piece table is bounded by the vocabulary.
     """
@@ -188,7 +211,7 @@ def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
     starts = words.select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
     spans = starts.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), n - F.col("s")))).alias("l"))
     subs = spans.withColumn("piece", F.col("marked").substr(F.col("s") + 1, F.col("l")))
-    return subs.join(table, "piece", "left").where("id is not null or l = 1").drop("piece")
+    return subs.join(table, "piece", "left").where("id is not null or l = 1")
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -216,9 +239,9 @@ def _best_path(edges: Column, word: Column, low: float) -> tuple[Column, Column]
 
 
 def _viterbi(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """word, carried, ids, ok by the best path, all with higher-order functions."""
-    carry = [c for c in words.columns if c != "marked"]
-    grouped = lattice(words, pieces).groupBy("word", "marked").agg(*(F.first(c).alias(c) for c in carry if c != "word"), F.collect_list(F.struct("s", "l", "score", "id")).alias("edges"))
+    """words with ids by the best path."""
+    carry, by = _carried(words)
+    grouped = lattice(words, pieces).groupBy(*by, "marked").agg(*(F.first(c).alias(c) for c in carry if c not in by), F.collect_list(F.struct("s", "l", "score", "id")).alias("edges"))
     best, path = _best_path(F.col("edges"), F.col("marked"), min(pieces.scores) - 10)
     cut = grouped.withColumn("best", best).withColumn("b", path)
 
@@ -232,104 +255,63 @@ def _viterbi(words: DataFrame, pieces: Pieces) -> DataFrame:
         return _let(F.get(found, F.lit(0))["id"], lambda x: F.when(x.isNotNull(), F.array(x)).otherwise(other))
 
     ids = F.flatten(F.transform(F.sequence(F.lit(0), F.size("b") - 2), ids_of))
-    return cut.select(*carry, ids.alias("ids"), F.lit(pieces.bytes_at is not None).alias("ok"))
-
-
-def merge_edges(word: str, spans: dict[int, int], rank: Sequence[int], single: Callable[[str], Sequence[int]]) -> list[int]:
-    """Best pair first, the leftmost of equals. spans: 64 * start + length to id, of two characters or more; rank: of each
-    id's score, 0 the best; single: the ids of one character.
+    return cut.select(*carry, ids.alias("ids"))
 
-    ends[a] is where the symbol that starts at a ends, 0 if none starts there. A merge may enable a better one, so each step
-    looks from the best edge on.
-    """
-    n = len(word)
-    ends = [*range(1, n + 1), 0]
-    wide = sorted([(rank[i], k >> 6, (k >> 6) + (k & 63)) for k, i in spans.items()])
-    while wide:
-        for _, a, z in wide:
-            m = ends[a]
-            if m and ends[m] == z and m < z:
-                ends[a], ends[m] = z, 0
-                break
-        else:
-            break
-    out: list[int] = []
-    a = 0
-    while a < n:
-        z = ends[a]
-        if z - a == 1:
-            out += single(word[a])
-        else:
-            out.append(spans[64 * a + z - a])
-        a = z
-    return out
 
+def _carried(words: DataFrame) -> tuple[list[str], list[str]]:
+    """The columns beside `marked`; and those to group by, of which the first may be what the words are dealt by."""
+    carry = [c for c in words.columns if c != "marked"]
+    return carry, [c for c in ("part", "word") if c in carry]
 
-def _merge(pieces: Pieces, names: list[str], schema: pa.Schema):
-    """Words of a lattice in order: (carried columns, the word first, where s = 0 and l = 1, else null; span; id)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, rank = pieces.raw(), pieces.ranks()
-        chars = {p: (i,) for i, (p, ok) in enumerate(zip(pieces.pieces, pieces.plain, strict=True)) if ok and len(p) == 1}
-        single = lambda c: chars.get(c) or pieces.fallback(c)
-        rows: list[tuple] = []
-        head, spans = None, {}
-
-        def close(head: tuple, spans: dict[int, int]) -> None:
-            whole = marked(head[0])
-            ids = merge_edges(whole, spans, rank, single)
-            ok = b"".join([raw[i] for i in ids]).decode("utf-8", "replace") == whole.replace(MARK, " ")
-            rows.append((*head, ids, ok))
+def _merged(words: DataFrame, pieces: Pieces) -> DataFrame:
+    """words with ids by merging, best score first, the leftmost of equals.
 
-        def emit() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-            rows.clear()
-            return out
+    An edge is one number: rank, start, end, id. The fold's state holds, for each place, the end and the id (plus one) of the symbol that
+    starts there, 0 for none; characters that are no piece have their bytes in place of the id.
+    """
+    carry, by = _carried(words)
+    whole = F.col("l") > 1
+    edge = F.col("rank") * (1 << _RANK) + F.col("s") * (1 << _START) + (F.col("s") + F.col("l")) * (1 << _END) + F.col("id")
+    code = F.conv(F.hex(F.encode("piece", "UTF-8")), 16, 10).cast("long")
+    char = F.col("s") * (1 << _RANK) + F.coalesce(F.col("id") + F.lit(1).cast("long"), code + _OTHER)
+    lists = {"edges": F.when(whole, edge), "chars": F.when(~whole, char)}
+    grouped = lattice(words, pieces).groupBy(*by).agg(*(F.first(c).alias(c) for c in carry if c not in by), *(F.sort_array(F.collect_list(c)).alias(k) for k, c in lists.items()))
+    field = lambda x, at, bits: F.shiftright(x, at).bitwiseAND(F.lit((1 << bits) - 1))
+    end = lambda state, at: F.get(state, at.cast("int")).bitwiseAND(F.lit(255))
+    first = F.concat(F.transform("chars", lambda x: field(x, 0, _RANK) * 256 + F.shiftright(x, _RANK) + 1), F.array(F.lit(0).cast("long")))
+
+    def lay(state: Column, e: Column) -> Column:
+        a, z = field(e, _START, 8), field(e, _END, 8)
+        symbol = field(e, 0, _END) * 256 + 256 + z
+        laid = F.transform(state, lambda x, i: F.when(i == a, symbol).when((i > a) & (i < z), F.lit(0).cast("long")).otherwise(x))
+        return F.when((end(state, a) > 0) & (end(state, end(state, a)) == z) & (end(state, a) < z), laid).otherwise(state)
+
+    symbols = F.filter(F.aggregate("edges", first, lay), lambda x: x != 0)
+
+    def id_or_bytes(x: Column) -> Column:
+        if pieces.bytes_at is None:
+            other = F.array(F.lit(pieces.unknown))
+        else:
+            n = F.ceil(F.length(F.hex(field(x, 8, 32))) / 2).cast("int")
+            other = F.transform(F.sequence(F.lit(1), n), lambda k: (F.call_function("shiftright", x, 8 + 8 * (n - k)).bitwiseAND(F.lit(255)) + pieces.bytes_at).cast("int"))
+        return F.when(x >= _OTHER * 256, other).otherwise(F.array((F.shiftright(x, 8) - 1).cast("int")))
 
-        for batch in batches:
-            first = pc.indices_nonzero(batch.column(0).is_valid())
-            heads = list(zip(*(batch.column(i).take(first).to_pylist() for i in range(len(names))), strict=True))
-            span, ids = batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist()
-            bounds = [*first.to_pylist(), len(span)]
-            spans.update(zip(span[: bounds[0]], ids[: bounds[0]], strict=True))
-            for k, next_head in enumerate(heads):
-                if head is not None:
-                    close(head, spans)
-                a, z = bounds[k] + 1, bounds[k + 1]  # the first row only tells that a word begins
-                head, spans = next_head, dict(zip(span[a:z], ids[a:z], strict=True))
-            if len(rows) > 8192:
-                yield emit()
-        if head is not None:
-            close(head, spans)
-        if rows:
-            yield emit()
+    plain = F.transform("symbols", lambda x: (F.shiftright(x, 8) - 1).cast("int"))
+    ids = F.when(F.exists("symbols", lambda x: x >= _OTHER * 256), F.flatten(F.transform("symbols", id_or_bytes))).otherwise(plain)
+    return grouped.withColumn("symbols", symbols).select(*carry, ids.alias("ids"))
 
-    return run
 
+def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
+    """words with ids. words: word (distinct, not empty, none that stays out of the lattice), further columns; `part`, if they are dealt by it."""
+    known = words.withColumn("marked", F.when(F.col("word").startswith(MARK), F.col("word")).otherwise(F.concat(F.lit(MARK), "word")))
+    return _viterbi(known, pieces) if pieces.kind == UNIGRAM else _merged(known, pieces)
 
-def encode_words(words: DataFrame, pieces: Pieces, after: Callable | None = None, after_type: str = "") -> DataFrame:
-    """words with ids, and ok: whether the ids decode to the word. words: word (distinct, not empty, at most MAX_WORD characters), further columns.
 
-    after: what the encoded batches go through in the same task, and its type.
-    """
-    known = words.withColumn("marked", F.when(F.col("word").startswith(MARK), F.col("word")).otherwise(F.concat(F.lit(MARK), "word")))
-    if pieces.kind == UNIGRAM:
-        out = _viterbi(known, pieces)
-        return out.mapInArrow(after, after_type) if after else out
-    begins = (F.col("s") == 0) & (F.col("l") == 1)
-    only = lambda c: F.when(begins, F.col(c)).alias(c)
-    rows = lattice(known, pieces).where("l > 1 or s = 0").select(*(only(c) for c in words.columns), (64 * F.col("s") + F.col("l")).cast("int").alias("span"), F.col("id").cast("int").alias("id"))
-    kinds = {"string": pa.string(), "bigint": pa.int64(), "array<int>": pa.list_(pa.int32())}
-    schema = pa.schema([*((c, kinds[t]) for c, t in words.dtypes), ("ids", pa.list_(pa.int32())), ("ok", pa.bool_())])
-    out = ", ".join([*(f"{c} {t}" for c, t in words.dtypes), "ids array<int>", "ok boolean"])
-    merge = _merge(pieces, words.columns, schema)
-    return rows.mapInArrow(lambda it: after(merge(it)), after_type) if after else rows.mapInArrow(merge, out)
-
-
-def _frequent(least: int, slice_words: int):
+def _frequent(pieces: Pieces, least: int, slice_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def report() -> pa.RecordBatch:
-            kept = [(w, n) for w, n in seen.items() if n >= least and len(w) <= MAX_WORD]
+            kept = [(w, n) for w, n in seen.items() if n >= least and not pieces.in_place(w)]
             seen.clear()
             return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], ["word", "n"])
 
@@ -344,28 +326,55 @@ def _frequent(least: int, slice_words: int):
     return run
 
 
-def _rare(cache: dict[str, bytes]):
-    """(chunk, word) for words that are not in the cache, once for each batch."""
+def _chunks(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[tuple[int, list[int], list[str]]]:
+    """Ids and texts of the documents of each chunk, batch by batch."""
+    chunk, held = TaskContext.get().partitionId() << 32, 0
+    for batch in batches:
+        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        a = 0
+        for z, text in enumerate(texts, 1):
+            held += len(text)
+            if held > chunk_bytes or z == len(texts):
+                yield chunk, ids[a:z], texts[a:z]
+                a = z
+            if held > chunk_bytes:
+                chunk, held = chunk + 1, 0
+
+
+def _rare(cache: dict[str, bytes], pieces: Pieces, chunk_bytes: int, parts: int):
+    """(part, chunk, words) for words that are not in the cache, once for each chunk: in order, with blanks between."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rare: dict[int, set[str]] = {}
-            for chunk, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                rare.setdefault(chunk, set()).update(words_of(text))
-            rare = {c: [w for w in ws.difference(cache) if len(w) <= MAX_WORD] for c, ws in rare.items()}
-            chunks = [c for c, ws in rare.items() for _ in ws]
-            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int32()), pa.array([w for ws in rare.values() for w in ws], pa.string())], ["chunk", "word"])
+        def emit(chunk: int) -> pa.RecordBatch:
+            dealt: dict[int, list[str]] = {}
+            for w in sorted(words.difference(cache)):
+                if not pieces.in_place(w):
+                    dealt.setdefault(zlib.crc32(w.encode()) % parts, []).append(w)
+            return pa.RecordBatch.from_arrays([pa.array(list(dealt), pa.int32()), pa.array([chunk] * len(dealt), pa.int64()), pa.array([" ".join(ws) for ws in dealt.values()], pa.string())], ["part", "chunk", "words"])
+
+        now, words = None, set()
+        for chunk, _, texts in _chunks(batches, chunk_bytes):
+            if chunk != now and words:
+                yield emit(now)
+                words = set()
+            now = chunk
+            for text in texts:
+                words.update(words_of(text))
+        if words:
+            yield emit(now)
 
     return run
 
 
-def _blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each batch's documents by chunk, compressed: what is shuffled is a third of the texts."""
-    for batch in batches:
-        chunk = batch.column(0).to_numpy(zero_copy_only=False)
-        found = np.unique(chunk).tolist()
-        blobs = [_press(batch.select(["doc_id", "text"]).take(pa.array(np.flatnonzero(chunk == c)))) for c in found]
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(blobs, pa.binary())], ["chunk", "blob"])
+def _blobs(chunk_bytes: int):
+    """Each chunk's documents, compressed: what is shuffled is a third of the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, ids, texts in _chunks(batches, chunk_bytes):
+            blob = _press(pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"]))
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([blob], pa.binary())], ["chunk", "blob"])
+
+    return run
 
 
 def _press(batch: pa.RecordBatch) -> bytes:
@@ -379,27 +388,29 @@ def _unpress(blob: bytes) -> Iterator[pa.RecordBatch]:
     yield from pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob))
 
 
-_WORD_IDS = pa.schema([("word", pa.string()), ("ids", pa.binary()), ("ok", pa.bool_())])
-
-
 def _by_chunk(entries: int):
-    """Encoded words for the chunks that asked for them, compressed by chunk."""
+    """Encoded words for the chunks that asked for them, compressed by chunk: the words in order, and their ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple]] = {}
+        press = zstandard.ZstdCompressor(level=6).compress
+        held: dict[int, list[tuple[str, list[int]]]] = {}
         n = 0
 
         def emit() -> pa.RecordBatch:
-            blobs = [_press(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _WORD_IDS, strict=True)], schema=_WORD_IDS)) for rows in held.values()]
+            blobs = []
+            for rows in held.values():
+                rows.sort()
+                words = " ".join([w for w, _ in rows]).encode()  # no word has a blank
+                counts = np.array([len(ids) for _, ids in rows], "<u2").tobytes()
+                blobs.append(press(struct.pack("<II", len(rows), len(words)) + words + counts + _halves(rows)))
             out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(blobs, pa.binary())], ["chunk", "words"])
             held.clear()
             return out
 
         for batch in batches:
-            for word, chunks, ids, ok in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("word", "chunks", "ids", "ok")), strict=True):
-                row = (word, struct.pack(f"<{len(ids)}I", *ids), ok)
+            for word, chunks, ids in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("word", "chunks", "ids")), strict=True):
                 for c in chunks:
-                    held.setdefault(c, []).append(row)
+                    held.setdefault(c, []).append((word, ids))
                 n += len(chunks)
             if n > entries:
                 yield emit()
@@ -410,71 +421,90 @@ def _by_chunk(entries: int):
     return run
 
 
-def _assemble(pieces: Pieces, cache: dict[str, tuple[bytes, bool]], with_ids: bool):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_pieces", pa.int64()), ("ids_crc32", pa.int64()), ("round_trip", pa.bool_()), *([("ids", pa.list_(pa.int32()))] * with_ids)])
+def _halves(rows: list[tuple[str, list[int]]]) -> bytes:
+    """All ids, their lower halves before their upper halves, which are mostly 0."""
+    return np.array([i for _, ids in rows for i in ids], "<u4").view("<u2").reshape(-1, 2).T.tobytes()
+
+
+def _read_words(blob: bytes) -> Iterator[tuple[str, bytes]]:
+    """Words and their ids, little-endian unsigned 32-bit."""
+    data = zstandard.ZstdDecompressor().decompress(blob)
+    n, size = struct.unpack_from("<II", data)
+    ends = 4 * np.cumsum(np.frombuffer(data, "<u2", n, 8 + size), dtype=np.int64)
+    ids = np.ascontiguousarray(np.frombuffer(data, "<u2", -1, 8 + size + 2 * n).reshape(2, -1).T).tobytes()
+    a = 0
+    for word, z in zip(data[8 : 8 + size].decode().split(" "), ends.tolist(), strict=True):
+        yield word, ids[a:z]
+        a = z
+
+
+def _assemble(pieces: Pieces, cache: dict[str, bytes], with_ids: bool):
+    names = ["doc_id", "n_words", "n_pieces", "ids_crc32", "round_trip"]
+    kinds = [pa.int64()] * 4 + [pa.bool_()]
+    table, raw = pieces.table(), pieces.raw()
+
+    class Known(dict):
+        """Words and their ids; what isn't there is in the cache, or merged in place."""
+
+        def __missing__(self, word: str) -> bytes:
+            found = cache.get(word)
+            if found is None:
+                found = np.array(merge_long(marked(word), pieces, table), dtype="<u4").tobytes()
+            self[word] = found
+            return found
 
     def run(blobs: pa.Table, words: pa.Table) -> pa.Table:
-        own: dict[str, bytes] = {}
-        bad = {w for w, ok in cache.get("", {}).items() if not ok}
+        known, rows, data_ = Known(), [], []
         for blob in words["words"].to_pylist():
-            for batch in _unpress(blob):
-                own.update(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-                bad.update(batch.column(0).filter(pc.invert(batch.column(2))).to_pylist())
-        table = {p: (s, i) for i, (p, s, ok) in enumerate(zip(pieces.pieces, pieces.scores, pieces.plain, strict=True)) if ok}
-        raw, rows, known = pieces.raw(), [], cache["ids"]
-
-        def long_word(word: str) -> bytes:
-            if len(word) <= MAX_WORD:
-                raise ValueError("a word was not encoded")
-            ids = merge_long(marked(word), pieces, table)
-            if b"".join([raw[i] for i in ids]).decode("utf-8", "replace") != marked(word).replace(MARK, " "):
-                bad.add(word)
-            return np.array(ids, dtype="<u4").tobytes()
-
+            known.update(_read_words(blob))
         for blob in blobs["blob"].to_pylist():
             for batch in _unpress(blob):
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     words_ = words_of(text)
-                    data = b"".join([known.get(w) or own.get(w) or long_word(w) for w in words_])
-                    ids = np.frombuffer(data, dtype="<i4")
-                    same = bad.isdisjoint(words_) and decode(ids.tolist(), raw) == text.replace(MARK, " ")
-                    rows.append((doc_id, len(words_), len(ids), zlib.crc32(data), same, *([ids] * with_ids)))
-        return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+                    data = b"".join([known[w] for w in words_])
+                    same = decode(np.frombuffer(data, dtype="<i4").tolist(), raw) == text.replace(MARK, " ")
+                    rows.append((doc_id, len(words_), len(data) // 4, zlib.crc32(data), same))
+                    data_.append(data if with_ids else b"")
+        columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
+        if with_ids:
+            offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in data_]))).astype(np.int32)
+            columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(data_), dtype="<i4"))))
+        return pa.Table.from_arrays(columns, names + ["ids"] * with_ids)
 
     return run
 
 
-def encode(docs: DataFrame, pieces: Pieces, cache_words: int = CACHE_WORDS, chunk_docs: int = CHUNK_DOCS, with_ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, pieces: Pieces, cache_words: int = CACHE_WORDS, chunk_bytes: int = CHUNK_BYTES, with_ids: bool = True) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_pieces, ids_crc32 (ids as little-endian unsigned 32-bit), round_trip, ids.
 
     Reads doc_id and text; other columns are ignored. A null text counts as empty, which has no pieces. round_trip: the document's
-    ids are decoded and are the text, with word marks in it as blanks. Rows that repeat an id are encoded each for itself. Without with_ids
-    the ids stay behind. An empty table gives no rows.
+    ids are decoded and are the text, with word marks in it as blanks. Rows that repeat an id are encoded each for itself. A chunk
+    ends with the document that fills it, so a very long text is a chunk of its own at most. Without with_ids the ids stay behind.
+    An empty table gives no rows.
     """
     spark = session(docs)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(EDGE_ROWS))  # rows of a lattice are short
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(EDGE_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(WORD_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(WORD_BYTES))
+    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(HELD_WORDS))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    counted = rows.select("text").mapInArrow(_frequent(LEAST_SEEN, SLICE_WORDS), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = rows.select("text").mapInArrow(_frequent(pieces, LEAST_SEEN, SLICE_WORDS), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     common = counted.orderBy(F.desc("n"), "word").limit(cache_words).select("word")
     ids = stash(encode_words(stash(common, "common-words").repartition("word"), pieces), "common-ids")
-    bounded = ids.select("word", "ids", "ok").toArrow()  # at most cache_words short rows
     known: dict[str, bytes] = {}
-    odd: dict[str, bool] = {}
     held = 0
-    for word, found, ok in zip(*(bounded[c].to_pylist() for c in ("word", "ids", "ok")), strict=True):
+    bounded = ids.select("word", "ids").toArrow()  # at most cache_words short rows
+    for word, found in zip(bounded["word"].to_pylist(), bounded["ids"].to_pylist(), strict=True):
         known[word] = struct.pack(f"<{len(found)}I", *found)
-        if not ok:
-            odd[word] = False
         held += len(word) + 4 * len(found)
         if held > CACHE_BYTES:
             break
-    shared = spark.sparkContext.broadcast({"ids": known, "": odd})
-    chunks = max(1, -(-docs.select("doc_id").count() // chunk_docs))
-    dealt = rows.select(F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(chunks)).alias("chunk"), "doc_id", "text")
-    met = dealt.mapInArrow(lambda it: _rare(shared.value["ids"])(it), "chunk int, word string").repartition("word").groupBy("word").agg(F.collect_set("chunk").alias("chunks"))
-    words = encode_words(met, pieces, _by_chunk(CHUNK_ENTRIES), "chunk long, words binary")
-    blobs = dealt.mapInArrow(_blobs, "chunk long, blob binary")
+    shared = spark.sparkContext.broadcast(known)
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rare = rows.mapInArrow(lambda it: _rare(shared.value, pieces, chunk_bytes, parts)(it), "part int, chunk long, words string")
+    asked = rare.repartition("part").select("part", "chunk", F.explode(F.split("words", " ")).alias("word"))
+    met = asked.groupBy("part", "word").agg(F.collect_list("chunk").alias("chunks"))
+    words = encode_words(met, pieces).mapInArrow(_by_chunk(CHUNK_ENTRIES), "chunk long, words binary")
+    blobs = rows.mapInArrow(_blobs(chunk_bytes), "chunk long, blob binary")
     out = "doc_id long, n_words long, n_pieces long, ids_crc32 long, round_trip boolean" + ", ids array<int>" * with_ids
     return blobs.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(lambda a, b: _assemble(pieces, shared.value, with_ids)(a, b), out)
 

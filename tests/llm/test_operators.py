@@ -404,7 +404,7 @@ def test_sentencepiece_is_the_library(docs, texts, pieces, cache):
     import public_tokenizers
 
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(PIECES))
-    found = sentencepiece_lattice.encode(docs, pieces, cache_words=cache, chunk_docs=16)
+    found = sentencepiece_lattice.encode(docs, pieces, cache_words=cache, chunk_bytes=3000)
     got = by_id(found)
     for i, t in enumerate(texts):
         assert list(got[i]["ids"]) == library.encode(t or "")
@@ -421,6 +421,24 @@ def test_sentencepiece_query_gives_ids_that_decode(docs, texts, pieces, spark, t
     assert {r["doc_id"]: r["text"] for r in sentencepiece_lattice.decoded(found, pieces).collect()} == {i: t or "" for i, t in enumerate(texts)}
 
 
+def test_merging_by_aggregate_is_the_library(spark, pieces):
+    """Words of random pieces, characters without piece, and runs of marks; none needs more than the one pass but the odd ones."""
+    import random
+
+    import public_tokenizers
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(PIECES))
+    rng = random.Random(6)
+    plain = [p.strip("▁") for p, ok in zip(pieces.pieces, pieces.plain, strict=True) if ok and p.strip("▁")]
+    words = {"".join(rng.choices(plain, k=rng.randint(1, 4))) for _ in range(3000)} | {"".join(rng.choices("aeinrst", k=rng.randint(1, 20))) for _ in range(2000)}
+    words |= {"\U0001f600", "x\u4dbfy", "\u0301a", "ÿ\x01", *("▁" * k + "ab" for k in range(2, 15)), *("▁" * k for k in range(2, 16))}
+    words = {w for w in words if not pieces.in_place(w)}
+    got = {r["word"]: list(r["ids"]) for r in sentencepiece_lattice.encode_words(spark.createDataFrame([(w,) for w in words], "word string").repartition(4), pieces).collect()}
+    assert pieces.odd == ("▁" * 16,)
+    assert got == {w: library.encode(sentencepiece_lattice.marked(w)[1:].replace("▁", " ")) for w in words}
+
+
 def test_unigram_lattice_is_viterbi(spark):
     table = {"▁": -3.0, "▁a": -2.0, "a": -2.5, "b": -2.2, "ab": -3.1, "▁ab": -4.4, "ba": -2.9, "c": -5.0}
     pieces = sentencepiece_lattice.Pieces([*table, "<unk>"], [*table.values(), 0.0], [True] * len(table) + [False], sentencepiece_lattice.UNIGRAM, None, len(table))
