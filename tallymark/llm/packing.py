@@ -2,15 +2,18 @@
 
 A document is its token ids and one separator. Whole-capacity pieces are cut off its front; the remainder is one more piece.
 Pieces are shuffled with their ids, and come out with ids, sequence and offset; checksums are of the ids that come out. Groups
-are dealt by a hash of the document, their number follows the rows and the bytes of text, and each group is packed alone,
-so no task sees more than its group.
+are dealt by a hash of the piece, so a very long text goes to many; rows that repeat an id and a text are told apart by a number
+within their input partition. The number of groups follows the rows and the bytes of text, and each group is packed alone, so no
+task sees more than its group.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,9 +38,7 @@ _LONG_RUN = re.compile(rb"[^\x09-\x0D ]{2000}|[\x09-\x0D ]{2000}")
 def _exact(model: str):
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_str(model)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_str(model)
 
 
 @lru_cache(maxsize=4)
@@ -51,19 +52,22 @@ def _quick(ranks: bytes, pattern: str):
 class Tokens:
     """Ids of a text under a vocabulary file of `tokenizers`. ranks: the same vocabulary as ranks, for Latin text; optional.
 
-    Files are read on the driver; executors get their content.
+    Both give equal ids; texts go to the slower `tokenizers` where the quick one might differ or take long: beyond Latin letters, in
+    very long runs, and where the string of an added token (as <|endoftext|>) stands. Files are read on the driver; executors get
+    their content.
     """
 
     def __init__(self, model_path: str, ranks_path: str | None = None, pattern: str | None = None) -> None:
         with open(model_path, encoding="utf-8") as f:
             self.model = f.read()
         self.ranks, self.pattern = None, pattern
+        self.added = tuple(t["content"].encode() for t in json.loads(self.model).get("added_tokens", []))
         if ranks_path and pattern:
             with open(ranks_path, "rb") as f:
                 self.ranks = f.read()
 
     def __call__(self, text: bytes) -> list[int]:
-        if self.ranks and not _BEYOND_LATIN.search(text) and not _LONG_RUN.search(text):
+        if self.ranks and not _BEYOND_LATIN.search(text) and not _LONG_RUN.search(text) and not any(t in text for t in self.added):
             return _quick(self.ranks, self.pattern).encode_ordinary(text.decode())
         return _exact(self.model).encode(text.decode(), add_special_tokens=False).ids
 
@@ -109,17 +113,19 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple
 
 
 def _pieces(tokens: Tokens, capacity: int, separator: int):
-    names = ["doc_id", "start", "length", "ids", "doc_tokens"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
+    names = ["doc_id", "start", "length", "ids", "doc_tokens", "copy"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: Counter[tuple[int | None, int]] = Counter()
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.array([*tokens(text), separator], dtype="<u4")
-                n = len(ids)
-                out += [(doc_id, a, min(capacity, n - a), ids[a : a + capacity].tobytes(), n) for a in range(0, n, capacity)]
-            cols = zip(*out, strict=True) if out else [[]] * 5
+                n, row = len(ids), (doc_id, zlib.crc32(text))
+                out += [(doc_id, a, min(capacity, n - a), ids[a : a + capacity].tobytes(), n, met[row]) for a in range(0, n, capacity)]
+                met[row] += 1
+            cols = zip(*out, strict=True) if out else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
     return run
@@ -151,14 +157,15 @@ def pack(docs: DataFrame, tokens: Tokens, capacity: int = CAPACITY, separator: i
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids.
 
     Reads doc_id and text; other columns are ignored. A null or empty text is one piece, the separator alone. A sequence is
-    the ids of the pieces of one sequence_id, laid without gaps from offset 0. Rows that repeat an id are packed each for itself. The
-    result depends on the rows alone, not on their order or on how they are partitioned. An empty table gives no rows.
+    the ids of the pieces of one sequence_id, laid without gaps from offset 0. Rows that repeat an id are packed each for itself. A
+    very long text is many pieces. The result doesn't depend on the order of the rows, and on how they are partitioned only where
+    rows repeat both id and text. An empty table gives no rows.
     """
     session(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
     size = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
     groups = max(1, -(-size["n"] // group_docs), -(-(size["bytes"] or 0) // GROUP_BYTES))
-    pieces = rows.mapInArrow(_pieces(tokens, capacity, separator), "doc_id long, start long, length long, ids binary, doc_tokens long")
-    dealt = pieces.withColumn("pack", F.pmod(F.xxhash64("doc_id", "doc_tokens"), F.lit(groups)))
+    pieces = rows.mapInArrow(_pieces(tokens, capacity, separator), "doc_id long, start long, length long, ids binary, doc_tokens long, copy int")
+    dealt = pieces.withColumn("pack", F.pmod(F.xxhash64("doc_id", "start", "doc_tokens", "copy"), F.lit(groups))).drop("copy")
     out = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
     return dealt.groupBy("pack").applyInArrow(_pack(capacity), out)

@@ -101,6 +101,25 @@ def test_packed_sequences_hold_the_ids(docs, texts):
         assert ids == [*exact.encode(t or "", add_special_tokens=False).ids, 0]
 
 
+@pytest.mark.parametrize("text", ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|><|endoftext|>b", "<|endoftext|", "Grüße <|endoftext|>漢"])
+def test_added_tokens_are_as_the_tokenizer_has_them(text):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert tokens()(text.encode()) == exact.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_parts_repeated_rows_and_long_texts(spark):
+    """One row over and over, and one very long text, are dealt to many groups."""
+    rows = [(7, "the same row of words")] * 600 + [(8, "word " * 200_000), (None, "no id"), (None, None)]
+    found = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), tokens(), group_docs=64)
+    groups = {i: {r["sequence_id"] >> 32 for r in found.where(f"doc_id = {i}").collect()} for i in (7, 8)}
+    assert min(map(len, groups.values())) >= 8
+    assert found.where("doc_id = 7").count() == 600 and found.where("doc_id is null").count() == 2
+
+
 def test_packing_groups_follow_the_bytes(docs, monkeypatch):
     """Few long documents are not one group."""
     monkeypatch.setattr(packing, "GROUP_BYTES", 4096)
