@@ -36,5 +36,21 @@ def text_bytes(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit("")).cast("binary")
 
 
+def row_hash(docs: DataFrame, *names: str) -> Column:
+    """A hash of what the columns hold, for telling apart rows that share an id; missing columns count as null."""
+    return F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) if c in docs.columns else F.lit("\x00") for c in names))
+
+
+def only_rows(docs: DataFrame, wanted: DataFrame, *names: str) -> DataFrame:
+    """The rows of docs that wanted names by (doc_id, raw, n), of each n that are alike one. raw: `row_hash(docs, *names)`."""
+    keys = wanted.select(F.col("doc_id").alias("__id"), F.col("raw").alias("__raw"), F.col("n").alias("__n"))
+    keyed = docs.withColumn("__own", row_hash(docs, *names))
+    met = (F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))) & (F.col("__own") == F.col("__raw"))
+    found = keyed.join(keys.hint("shuffle_hash"), met)
+    if keys.where("__n > 1").isEmpty():
+        return found.select(*docs.columns)
+    return found.where("__n = 1").select(*docs.columns).union(found.where("__n > 1").dropDuplicates(["__id", "__raw"]).select(*docs.columns))
+
+
 def dumps(x: object) -> str:
     return json.dumps(x, ensure_ascii=False, separators=(",", ":"))

@@ -3,9 +3,10 @@
 The index key of a text is the first 64 bits of the SHA-256 of its normal form (A-Z lower-cased, nothing else). A directory
 of 2^depth slots maps the key's leading bits to buckets. It starts as one slot; while a bucket is overfull it is split by its
 next bit, and the directory doubles when the bucket already uses all bits of the directory. Bucket loads are distinct keys
-(copies count once), so a hot text can't force splits that would not part it.
+(copies count once), so a hot text can't force splits that would not part it. The directory that all tasks share has at most
+2^MAX_BITS slots, whatever the corpus; a bucket that is still overfull then is read by its owner in key order, so it need not fit.
 
-Owner tasks hold whole buckets, which are key ranges. Each streams its entries in key order, chains texts that share a key,
+Each bucket is a key range and has one owner task. It streams its entries in key order, chains texts that share a key,
 and tells them apart by comparing bytes. Map tasks fold equal texts into one entry first, so a text that makes up a third of
 the corpus reaches its owner once per map task. Resolved classes and the directory are written to the shared folder; the rows
 learn their class by an equi-join that adaptive execution can split where a class is hot.
@@ -22,12 +23,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.llm._shared import session, stash, text_bytes
+from tallymark.llm._shared import only_rows, row_hash, session, stash, text_bytes
 
 #: Bytes and distinct keys that a bucket holds before it is split; bytes of distinct texts that a map task folds at a time.
-BUCKET_BYTES, BUCKET_KEYS, FOLD_BYTES = 16 << 20, 1 << 18, 32 << 20
-#: Bits of a key that one round of counting tells apart.
-ROUND_BITS = 12
+BUCKET_BYTES, BUCKET_KEYS, FOLD_BYTES = 4 << 20, 1 << 18, 32 << 20
+#: Bits of a key that one round of counting tells apart, and that the directory uses at most.
+ROUND_BITS, MAX_BITS = 8, 16
 
 
 class Directory:
@@ -61,14 +62,14 @@ class Directory:
 
 
 def build_directory(keys: DataFrame, bucket_bytes: int, bucket_keys: int) -> Directory:
-    """Split overfull buckets until none is left that more bits could part.
+    """Split overfull buckets until none is left, or MAX_BITS are used.
 
     keys: h (long), nbytes (long), one row for each distinct key. A round counts at most 2^ROUND_BITS prefixes below each
-    overfull bucket; the driver sees those counts only.
+    overfull bucket; the driver sees those counts only, at most 2^MAX_BITS.
     """
     directory, bits = Directory(), 0
     overfull: list[int] | None = None
-    while bits < 60 and overfull != []:
+    while bits < MAX_BITS and overfull != []:
         bits += ROUND_BITS
         prefix = F.shiftrightunsigned("h", 64 - bits)
         rows = keys
@@ -99,7 +100,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shas = [hashlib.sha256(t.lower()).digest() for t in batch.column(1).to_pylist()]
         h = np.frombuffer(b"".join(x[:8] for x in shas), dtype=">i8").astype(np.int64)
         sizes = pc.binary_length(batch.column(1)).cast(pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shas, pa.binary()), pa.array(h), sizes], ["doc_id", "sha", "h", "nbytes"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(shas, pa.binary()), pa.array(h), sizes], ["doc_id", "raw", "sha", "h", "nbytes"])
 
 
 def _fold(directory: Directory, fold_bytes: int):
@@ -169,6 +170,19 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emit()
 
 
+def _classed(docs: DataFrame, bucket_bytes: int, bucket_keys: int) -> DataFrame:
+    """doc_id, raw (a hash of the text as it is), sha, keep_id and group_size of each row."""
+    session(docs)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"), row_hash(docs, "text").alias("raw"))
+    keys = stash(rows.mapInArrow(_keys, "doc_id long, raw long, sha binary, h long, nbytes long"), "dedup-keys")
+    distinct = keys.groupBy("h").agg(F.max("nbytes").alias("nbytes"))
+    directory = build_directory(distinct, bucket_bytes, bucket_keys)
+    entries = rows.select("doc_id", "text").mapInArrow(_fold(directory, FOLD_BYTES), "bucket int, h long, text binary, keep_id long, n long")
+    owned = entries.repartitionById(len(directory.buckets), "bucket").sortWithinPartitions("h")
+    classes = stash(owned.mapInArrow(_resolve, "bucket int, h long, class_sha binary, keep_id long, group_size long"), "dedup-index")
+    return keys.join(classes.select("class_sha", "keep_id", "group_size"), F.col("sha") == F.col("class_sha"))
+
+
 def exact_dedup(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -176,27 +190,22 @@ def exact_dedup(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, bucket_keys:
     equal. Of equal texts the largest doc_id stays; rows that repeat both id and text are one document and get the same
     verdict. A null doc_id stays only where its whole group has none. An empty table gives no rows.
     """
-    session(docs)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
-    keys = stash(rows.mapInArrow(_keys, "doc_id long, sha binary, h long, nbytes long"), "dedup-keys")
-    distinct = keys.groupBy("h").agg(F.max("nbytes").alias("nbytes"))
-    directory = build_directory(distinct, bucket_bytes, bucket_keys)
-    entries = rows.mapInArrow(_fold(directory, FOLD_BYTES), "bucket int, h long, text binary, keep_id long, n long")
-    owned = entries.repartition(len(directory.buckets), "bucket").sortWithinPartitions("h")
-    classes = stash(owned.mapInArrow(_resolve, "bucket int, h long, class_sha binary, keep_id long, group_size long"), "dedup-index")
-    return (
-        keys.join(classes.select("class_sha", "keep_id", "group_size"), F.col("sha") == F.col("class_sha"))
-        .select(
-            "doc_id",
-            "keep_id",
-            "group_size",
-            F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-            F.lower(F.hex("sha")).alias("text_sha256"),
-        )
-    )
+    return _classed(docs, bucket_bytes, bucket_keys).select(
+        "doc_id",
+        "keep_id",
+        "group_size",
+        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+        F.lower(F.hex("sha")).alias("text_sha256"),
+    )
 
 
 def kept_rows(docs: DataFrame) -> DataFrame:
-    """The rows that stay, with all their columns. Only ids are hashed; texts are neither sorted nor held."""
-    verdicts = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(verdicts.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")
+    """The rows that stay, with all their columns: one of each class.
+
+    Of rows that share the largest id, that whose text has the least hash stays; of rows that share the text too, any one. Only
+    ids and hashes are joined; texts are neither sorted nor held.
+    """
+    kept = _classed(docs, BUCKET_BYTES, BUCKET_KEYS).where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    alike = kept.groupBy("sha", "doc_id", "raw").agg(F.count("*").alias("n"))
+    stay = alike.groupBy("sha").agg(F.min(F.struct("raw", "doc_id", "n")).alias("one")).select("one.*")
+    return only_rows(docs, stash(stay, "dedup-stay"), "text")
