@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.llm._shared import session, stash, text_bytes
+from tallymark.llm._shared import only_rows, row_hash, session, stash, text_bytes
 
 SEED, SHINGLE, MAX_BITS = 42, 3, 3
 #: Bit j (from the high end) of byte value v.
@@ -53,7 +53,7 @@ def _fingerprints(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t, width) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps)], ["doc_id", "raw", "fp"])
 
     return run
 
@@ -105,7 +105,8 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 
 def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(fp, low): the smallest `low` among the nodes that can be reached. nodes: fp, low (distinct fp); pairs: a, b.
+    """(fp, low, root): the smallest `low` among the nodes that can be reached, null only where all are, and one node that stands
+    for the component. nodes: fp, low (distinct fp); pairs: a, b.
 
     A label is a node that can be reached: its low and its fp. Each round takes the least label of a node's neighbours, then
     jumps to the label of that node; the loop ends when a round changes nothing. Only linked nodes take part, and each
@@ -113,7 +114,7 @@ def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """
     both = stash(pairs.union(pairs.select("b", "a")), "links")
     linked = both.select(F.col("a").alias("fp")).distinct()
-    labels = stash(nodes.join(linked, "fp").select("fp", F.struct("low", "fp").alias("label")), "labels")
+    labels = stash(nodes.join(linked, "fp").select("fp", F.struct(F.col("low").isNull().alias("none"), "low", "fp").alias("label")), "labels")
     while True:
         near = both.join(labels.select(F.col("fp").alias("b"), F.col("label").alias("there")), "b").groupBy("a").agg(F.min("there").alias("there"))
         hooked = stash(labels.join(near, F.col("fp") == F.col("a")).select("fp", F.col("label").alias("was"), F.least("label", "there").alias("label")), "hooked")
@@ -122,8 +123,18 @@ def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
         if labels.where(F.col("label.fp") != F.col("was.fp")).isEmpty():
             break
         labels = labels.select("fp", "label")
-    found = labels.select(F.col("fp").alias("linked"), F.col("label.low").alias("reached"))
-    return nodes.join(found, F.col("fp") == F.col("linked"), "left").select("fp", F.coalesce("reached", "low").alias("low"))
+    found = labels.select(F.col("fp").alias("linked"), F.col("label.low").alias("reached"), F.col("label.fp").alias("at"))
+    return nodes.join(found, F.col("fp") == F.col("linked"), "left").select("fp", F.coalesce("reached", "low").alias("low"), F.coalesce("at", "fp").alias("root"))
+
+
+def _components(docs: DataFrame, width: int, max_bits: int) -> DataFrame:
+    """doc_id, raw (a hash of the text as it is), fp, low and root of each row."""
+    session(docs)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"), row_hash(docs, "text").alias("raw"))
+    prints = stash(rows.mapInArrow(_fingerprints(width), "doc_id long, raw long, fp long"), "fingerprints")
+    nodes = stash(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
+    pairs = stash(links(nodes.select("fp"), max_bits), "pairs")
+    return prints.join(components(nodes, pairs), "fp")
 
 
 def simhash_components(docs: DataFrame, width: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
@@ -131,18 +142,19 @@ def simhash_components(docs: DataFrame, width: int = SHINGLE, max_bits: int = MA
 
     Reads doc_id and text; other columns are ignored. A null text counts as empty. Texts without a word have fingerprint zero
     and are linked like any other; fewer words than the shingle's width make one shingle. Rows that repeat an id count once
-    as a node. An empty table gives no rows.
+    as a node. Rows without id are linked like others; component_id is null only where no row of the component has an id. A very
+    long text is one fingerprint. An empty table gives no rows.
     """
-    session(docs)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
-    prints = stash(rows.mapInArrow(_fingerprints(width), "doc_id long, fp long"), "fingerprints")
-    nodes = stash(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
-    pairs = stash(links(nodes.select("fp"), max_bits), "pairs")
-    found = components(nodes, pairs)
-    return prints.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("low").alias("component_id"))
+    found = _components(docs, width, max_bits)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("low").alias("component_id"))
 
 
 def kept_rows(docs: DataFrame) -> DataFrame:
-    """One document of each component stays: that with the smallest doc_id."""
-    stay = simhash_components(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(stay.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")
+    """One document of each component stays: that with the smallest doc_id; one without id only where all are.
+
+    Of rows that share that id, that whose text has the least hash stays; of rows that share the text too, any one.
+    """
+    alike = _components(docs, SHINGLE, MAX_BITS).groupBy("root", "doc_id", "raw").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw", "n"))
+    stay = alike.groupBy("root").agg(first.alias("one")).select("one.doc_id", "one.raw", "one.n")
+    return only_rows(docs, stash(stay, "near-stay"), "text")
