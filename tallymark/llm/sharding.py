@@ -7,8 +7,8 @@ for all nodes of a level at once, until the bin that holds the quantile is one r
 SHARDS * BINS counts at most; rows are aggregated map-side and never gathered, whatever their ties.
 
 The dimensions (log size, language, bytes per character) are functions of a document's text and language. Within a dimension
-rows are ordered by its value, then a hash of the text, then a hash of the id: copies of a text stay together, unless a cut
-must part them to keep sizes equal.
+rows are ordered by its value, then a hash of the text, then a hash of the id and of the row's place in the input: copies of a text
+stay together, unless a cut must part them to keep sizes equal.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tallymark.llm._shared import stash
 
-SHARDS, BINS, ROW_BYTES = 40, 512, 16
+SHARDS, BINS, ROW_BYTES = 40, 4096, 16
 #: Rows that one slot counter numbers.
 SLOT_ROWS = 20_000
 #: Bits of a dimension's value and of the text's hash, which make one ordered point.
@@ -81,7 +81,8 @@ def _zoom(rows: DataFrame, bounds: dict[int, tuple[int, int]], goals: dict[int,
 def _cut(rows: DataFrame, nodes: list[Node]) -> None:
     """Give each node, all of more than one leaf, its dimension and cut. rows: n (the node's number), k0.., h, i, size."""
     spark = rows.sparkSession
-    facts = {r["n"]: r for r in rows.groupBy("n").agg(F.sum("size").alias("b"), *(F.stddev_pop(d).alias(d) for d in DIMENSIONS)).collect()}
+    ends = [f(d).alias(f"{d}{e}") for d in DIMENSIONS for f, e in ((F.min, "a"), (F.max, "z"))]
+    facts = {r["n"]: r for r in rows.groupBy("n").agg(F.sum("size").alias("b"), *(F.stddev_pop(d).alias(d) for d in DIMENSIONS), *ends).collect()}
     whole = rows.agg(*(F.stddev_pop(d).alias(d) for d in DIMENSIONS)).first()
     nodes = [e for e in nodes if e.shard in facts]
     for e in nodes:
@@ -92,7 +93,8 @@ def _cut(rows: DataFrame, nodes: list[Node]) -> None:
     goals = {e.shard: facts[e.shard]["b"] * (e.leaves // 2) / e.leaves for e in nodes}
     below = dict.fromkeys(goals, 0)
     v = rows.join(_values(spark, "n, dim", [(e.shard, e.dimension) for e in nodes]), "n").select("n", "i", "size", _point().alias("v"))
-    points = _zoom(v, dict.fromkeys(goals, (0, TOP - 1)), goals, below)
+    bounds = {e.shard: (facts[e.shard][f"{e.dimension}a"] << HASH_BITS, ((facts[e.shard][f"{e.dimension}z"] + 1) << HASH_BITS) - 1) for e in nodes}
+    points = _zoom(v, bounds, goals, below)
     tied = {n: p[0] for n, p in points.items() if p[1] > 1}
     last = {}
     if tied:
@@ -129,7 +131,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
     Reads doc_id, text, and lang where there; other columns are ignored. Sizes are UTF-8 bytes plus 16; a null text counts as
     empty. Sizes of shards differ by about one document: each cut takes the row at the quantile to the nearer side. Rows that
-    repeat id and text lie at one point and aren't parted. Slots number a shard's rows from 0 without gaps. An empty table
+    repeat id and text are parted like other copies. A very long text may be more than a shard's share. Slots number a shard's rows from 0 without gaps. An empty table
     gives no rows; with fewer rows than shards some shards stay empty.
     """
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
@@ -143,7 +145,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         (cap(F.ascii("l"), 1023) * 1024 + cap(F.ascii(F.substring("l", 2, 1)), 1023)).cast("int").alias("k1"),
         cap(F.floor((F.octet_length("t") / F.greatest(F.char_length("t"), F.lit(1)) - 1) * (1 << 16)), (1 << VALUE_BITS) - 1).cast("int").alias("k2"),
         F.shiftrightunsigned(F.xxhash64("t"), 64 - HASH_BITS).alias("h"),
-        F.shiftrightunsigned(F.xxhash64("doc_id"), 2).alias("i"),
+        F.shiftrightunsigned(F.xxhash64("doc_id", F.monotonically_increasing_id()), 2).alias("i"),
     )
     rows = stash(known, "shard-points")
     parts = max(1, -(-rows.count() // (shards * SLOT_ROWS)))
