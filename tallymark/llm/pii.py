@@ -3,8 +3,9 @@
 Each kind of value has a finite domain of valid values: card numbers by their free digits (the check digit follows), dates by
 their day, and so on. A value is validated, turned into its number in the domain, permuted, and written back in the format it
 was found in. The permutation is an eight-round Feistel network on an even number of bits with HMAC-SHA256 as round function,
-walked until it lands in the domain again. It depends on the key and the kind only, so equal values stay linked across
-documents, and different values stay different. Values that fail validation are left as they are.
+walked until it lands in the domain again; between it and its inverse stands a keyed shift, so no value is left as it is. It
+depends on the key and the kind only, so equal values stay linked across documents, and different values stay different. Values
+that fail validation are left as they are, and so are the domains of e-mail addresses. The search is linear in a text's length.
 """
 
 from __future__ import annotations
@@ -25,44 +26,59 @@ FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099,
 #: Lengths of IBANs by country.
 IBAN = {"AT": 20, "BE": 16, "CH": 21, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "IE": 22, "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "SE": 24}
 _FOUND = re.compile(
-    r"(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
+    r"(?<![A-Za-z0-9._%+-])[._%+-]*+(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
     r"|(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key|key)\b)[\"']?\s*[=:]\s*[\"']?(?P<secret>[A-Za-z0-9_+/-]{16,})"
     r"|(?<![A-Za-z0-9])(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])"
     r"|(?<![\w.])(?P<ip>\d{1,3}(?:\.\d{1,3}){3})(?![\w]|\.\d)"
     r"|(?<![\w])(?P<iso>\d{4}-\d{2}-\d{2})(?![\d-]|\w)"
     r"|(?<![\w./-])(?P<day>\d{1,2}(?P<mark>[./-])\d{1,2}(?P=mark)(?:19|20)\d{2})(?![\w]|[./-]\d)"
     r"|(?<![\w+])(?P<phone>\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\d)|\+\d{1,3}[ -]?(?:\(\d{1,4}\)|\d{1,4})(?:[ -]?\d{2,4}){2,4}(?![.-]?\d))"
+    r"|(?<![\w+(.-])(?P<national>(?:\(\d{3}\)[ .-]?|\d{3}(?P<dash>[.-]))\d{3}(?(dash)(?P=dash)|[ .-])\d{4})(?![\w-]|\.\d)"
     r"|(?<![\w-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])"
     r"|(?<![\w.])(?P<card>\d(?:[ -]?\d){12,18})(?!\w)"
 )
-_KINDS = tuple(k for k in _FOUND.groupindex if k != "mark")
+_KINDS = tuple(k for k in _FOUND.groupindex if k not in ("mark", "dash"))
 _RADIX = {**{c: (10, 48) for c in "0123456789"}, **{chr(c): (26, 97) for c in range(97, 123)}, **{chr(c): (26, 65) for c in range(65, 91)}}
 
 
 class Feistel:
-    """A keyed permutation of range(size) for any size, one for each kind."""
+    """A keyed permutation of range(size) for any size, one for each kind, that leaves no value in its place (but where there is one only)."""
 
     def __init__(self, key: bytes) -> None:
         self.key = key
 
-    def __call__(self, value: int, size: int, kind: str) -> int:
-        if size < 2:
-            return value
+    def _bits(self, message: bytes, width: int) -> int:
+        digest, more = b"", 0
+        while len(digest) < width:
+            digest += hmac.digest(self.key, message + bytes([more]), "sha256")
+            more += 1
+        return int.from_bytes(digest[:width], "big")
+
+    def _network(self, value: int, size: int, kind: str, rounds: range) -> int:
+        """The rounds in their order or from the last to the first, which undoes them."""
         half = max(1, ((size - 1).bit_length() + 1) // 2)
         mask, width = (1 << half) - 1, (half + 7) // 8
+        swap = rounds.step < 0
         while True:
             left, right = value >> half, value & mask
-            for i in range(ROUNDS):
-                message = f"{kind}/{size}/{i}/".encode() + right.to_bytes(width, "big")
-                digest, more = b"", 0
-                while len(digest) < width:
-                    digest += hmac.digest(self.key, message + bytes([more]), "sha256")
-                    more += 1
-                left, right = right, left ^ (int.from_bytes(digest[:width], "big") & mask)
+            for i in rounds:
+                if swap:
+                    left, right = right, left
+                left, right = right, left ^ (self._bits(f"{kind}/{size}/{i}/".encode() + right.to_bytes(width, "big"), width) & mask)
+                if swap:
+                    left, right = right, left
             value = left << half | right
             if value < size:
                 return value
 
+    def __call__(self, value: int, size: int, kind: str, back: bool = False) -> int:
+        """back: what the permutation takes to value."""
+        if size < 2:
+            return value
+        shift = 1 + self._bits(f"{kind}/{size}/shift/".encode(), 16) % (size - 1)
+        mixed = (self._network(value, size, kind, range(ROUNDS)) + (-shift if back else shift)) % size
+        return self._network(mixed, size, kind, range(ROUNDS - 1, -1, -1))
+
 
 def luhn(digits: str) -> int:
     """The digit that completes digits to a valid card number."""
@@ -162,6 +178,16 @@ class Pseudonyms:
         number = self.permute(int(digits), 10 ** len(digits), f"phone:{len(digits)}")
         return country + _refill(rest, f"{number:0{len(digits)}d}")
 
+    def national(self, found: str) -> str | None:
+        """Ten digits without a country's; an area doesn't start with 0 or 1."""
+        digits = re.sub(r"\D", "", found)
+        if digits[0] in "01":
+            return None
+        while True:
+            digits = f"{self.permute(int(digits), 10**10, 'national'):010d}"
+            if digits[0] not in "01":
+                return _refill(found, digits)
+
     def ssn(self, found: str) -> str | None:
         if not self._issued(digits := found.replace("-", "")):
             return None
@@ -212,8 +238,8 @@ class Pseudonyms:
 
 
 def _rewrite(key: bytes):
-    names = ["doc_id", "text", "n_numbers", "n_dates", "n_names", "kinds"]
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+    names = ["doc_id", "text", "n_found", "n_numbers", "n_dates", "n_names", "kinds"]
+    kinds = [pa.int64(), pa.string(), *[pa.int64()] * 4, pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pseudonyms = Pseudonyms(key)
@@ -222,7 +248,8 @@ def _rewrite(key: bytes):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 new, counts = (None, {}) if text is None else pseudonyms.rewrite(text)
                 dates, names_ = counts.get("iso", 0) + counts.get("day", 0), counts.get("email", 0) + counts.get("secret", 0)
-                out.append((doc_id, new, sum(counts.values()) - dates - names_, dates, names_, ",".join(sorted(counts))))
+                n = sum(counts.values())
+                out.append((doc_id, new, n, n - dates - names_, dates, names_, ",".join(sorted(counts))))
             cols = zip(*out, strict=True) if out else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
@@ -230,14 +257,14 @@ def _rewrite(key: bytes):
 
 
 def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
-    """One row per row of docs: doc_id, text, n_numbers, n_dates, n_names (e-mail local parts and secrets), kinds.
+    """One row per row of docs: doc_id, text, n_found (of any kind), n_numbers, n_dates, n_names (e-mail local parts and secrets), kinds.
 
-    Reads doc_id and text; other columns are ignored. A null text stays null. Nothing is shuffled. An empty table gives no
-    rows.
+    Reads doc_id and text; other columns are ignored. A null text stays null, an empty one empty. A very long text is read once from
+    its start to its end. Rows that repeat an id are rewritten each for itself. Nothing is shuffled. An empty table gives no rows.
     """
     session(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_rewrite(key), "doc_id long, text string, n_numbers long, n_dates long, n_names long, kinds string")
+    return rows.mapInArrow(_rewrite(key), "doc_id long, text string, n_found long, n_numbers long, n_dates long, n_names long, kinds string")
 
 
 def rewritten_rows(docs: DataFrame, key: bytes) -> DataFrame:
