@@ -6,8 +6,8 @@ must have o tokens (length filter); and no more can be shared than come after th
 filter). What passes is verified. Only the templates' tokens can be shared, so blocks are projected on them first: the
 templates, their vocabulary and the index on their prefixes are bounded by the template list, and go to every task.
 
-A block is `STRIDE` words and as many that follow, at every `STRIDE` words, so each passage of up to STRIDE words lies whole in
-one block. Phrases are templates of threshold 1 whose words must stand consecutively; a place counts in the block in which it
+A block is a stride of words and as many that follow, at every stride, so each passage of up to a stride of words lies whole in
+one block. Templates may have any length: they are sorted by it into strides of STRIDE words, twice as many, and so on. Phrases are templates of threshold 1 whose words must stand consecutively; a place counts in the block in which it
 starts.
 """
 
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from tallymark.llm._shared import session, text_bytes
 
 STRIDE, THRESHOLD = 48, 0.9
+MAX_TEMPLATES = 10_000
 #: The phrases that a scan always counts, and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 TEMPLATES = {
@@ -31,6 +32,7 @@ TEMPLATES = {
         "licensed under the apache license version 2 0",
         "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind",
     ],
+    "boost": ["boost software license version 1 0"],
     "bsd": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
     "cc-by-nc": ["licensed under cc by nc 4 0"],
     "cc-by-sa": ["licensed under cc by sa 4 0", "creative commons attribution sharealike 4 0 international license"],
@@ -40,7 +42,15 @@ TEMPLATES = {
         "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license",
     ],
     "lgpl": ["licensed under the gnu lesser general public license"],
+    "isc": [
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    ],
     "mit": [
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including "
+        "without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to "
+        "the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty "
+        "of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders "
+        "be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
         "released under the mit license",
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
         "the software is provided as is without warranty of any kind express or implied",
@@ -71,23 +81,28 @@ class Scanner:
     def __init__(self, frequency: Mapping[bytes, int], templates: Mapping[str, Sequence[str]], phrases: Mapping[str, str], threshold: float, stride: int = STRIDE) -> None:
         split = [(label, words_of(t.encode()), threshold, False) for label, ts in templates.items() for t in ts]
         split += [(label, words_of(p.encode()), 1.0, True) for p, label in phrases.items()]
-        if any(len(words) > stride or not words for _, words, _, _ in split):
-            raise ValueError(f"a template must have 1 to {stride} words")
+        if not all(words for _, words, _, _ in split):
+            raise ValueError("a template must have a word")
         vocabulary = sorted({w for _, words, _, _ in split for w in words}, key=lambda w: (frequency.get(w, 0), w))
-        self.rank, self.stride = {w: i for i, w in enumerate(vocabulary)}, stride
+        self.rank = {w: i for i, w in enumerate(vocabulary)}
         self.templates = [Template(*x, self.rank) for x in split]
-        self.index: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for k, t in enumerate(self.templates):
+        self.strides = [stride << max(0, math.ceil(math.log2(len(t.words) / stride))) for t in self.templates]
+        self.index: dict[int, dict[bytes, list[tuple[int, int]]]] = {}
+        for k, (t, size) in enumerate(zip(self.templates, self.strides, strict=True)):
             for i, token in enumerate(t.prefix):
-                self.index[token].append((k, i))
-        self.index = dict(self.index)
+                self.index.setdefault(size, defaultdict(list))[token].append((k, i))
+        self.index = {size: dict(index) for size, index in self.index.items()}
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, str]], dict[str, float]]:
         """Phrases' places (start, label), and each matched template label with its best containment."""
-        index, stride = self.index, self.stride
-        met = [i for i, w in enumerate(words) if w in index]
         places: list[tuple[int, str]] = []
         labels: dict[str, float] = {}
+        for stride, index in self.index.items():
+            self._scan(words, stride, index, places, labels)
+        return places, labels
+
+    def _scan(self, words: list[bytes], stride: int, index: Mapping[bytes, list[tuple[int, int]]], places: list[tuple[int, str]], labels: dict[str, float]) -> None:
+        met = [i for i, w in enumerate(words) if w in index]
         blocks = sorted({b for i in met for b in (i // stride, i // stride - 1) if b >= 0})
         for b in blocks:
             block = words[b * stride : (b + 2) * stride]
@@ -111,7 +126,18 @@ class Scanner:
                     a = i - anchor
                     if w == t.tokens[0] and 0 <= a < stride and block[a : a + n] == t.words:
                         places.append((b * stride + a, t.label))
-        return places, labels
+
+
+def read_templates(table: DataFrame) -> dict[str, list[str]]:
+    """Templates of a table (label, text); at most MAX_TEMPLATES, as they go to every task."""
+    rows = table.select("label", "text").where("text is not null").distinct().limit(MAX_TEMPLATES + 1).collect()
+    if len(rows) > MAX_TEMPLATES:
+        raise ValueError(f"a scan may have {MAX_TEMPLATES} templates")
+    found: dict[str, list[str]] = {}
+    for label, text in sorted(map(tuple, rows)):
+        if words_of(text.encode()):
+            found.setdefault(label, []).append(text)
+    return found
 
 
 def _count(vocabulary: frozenset[bytes]):
@@ -148,7 +174,7 @@ def license_scan(docs: DataFrame, templates: Mapping[str, Sequence[str]] = TEMPL
     """One row per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Reads doc_id and text; other columns are ignored. A null text counts as empty: no words, no labels ("", not null), score
-    0, and first_word and last_word null. The score is the best containment of a template, 1 with a phrase. Rows that repeat
+    0, and first_word and last_word null. A very long text is scanned block by block. The score is the best containment of a template, 1 with a phrase. Rows that repeat
     an id get a row each. An empty table gives no rows.
     """
     session(docs)
