@@ -41,15 +41,15 @@ def test_license_blocks_lose_no_match():
     scanner = license_scan.Scanner({}, license_scan.TEMPLATES, license_scan.PHRASES, 0.8)
     vocabulary = [*scanner.rank, b"filler", b"other"]
     for _ in range(150):
-        words = [rng.choice(vocabulary) for _ in range(rng.randint(1, 150))]
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(1, 400))]
         t = rng.choice(scanner.templates)
         at = rng.randint(0, len(words))
         words[at:at] = [w for w in t.words if rng.random() < 0.95]
         places, labels = scanner.scan(words)
         wanted = defaultdict(float)
-        for b in range(0, len(words), scanner.stride):
-            block = set(words[b : b + 2 * scanner.stride])
-            for x in scanner.templates:
+        for x, stride in zip(scanner.templates, scanner.strides, strict=True):
+            for b in range(0, len(words), stride):
+                block = set(words[b : b + 2 * stride])
                 if not x.phrase and len(block & set(x.tokens)) >= x.least:
                     wanted[x.label] = max(wanted[x.label], len(block & set(x.tokens)) / len(x.tokens))
         assert labels == dict(wanted)
@@ -57,6 +57,19 @@ def test_license_blocks_lose_no_match():
         assert sorted(places) == sorted(plain)
 
 
+def test_license_templates_of_any_length_from_a_table(spark):
+    """A template of 3,000 words is found in a text that holds it, from a table; its parts alone are not."""
+    import random
+
+    rng = random.Random(1)
+    whole = " ".join(f"w{rng.randint(0, 900)}" for _ in range(3000))
+    templates = license_scan.read_templates(spark.createDataFrame([("long", whole), ("long", "two words"), ("none", "..."), ("null", None)], "label string, text string"))
+    assert set(templates) == {"long"} and len(templates["long"]) == 2
+    rows = [(1, "before " * 2000 + whole + " after" * 10), (2, whole[:6000]), (3, "some two words"), (4, None)]
+    got = by_id(license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string"), {"long": [whole]}))
+    assert [got[i]["labels"] for i in (1, 2, 3, 4)] == ["long", "", "", ""]
+
+
 def test_packing(docs, texts):
     from tokenizers import Tokenizer
 
@@ -149,6 +162,9 @@ def test_exact_dedup(docs, texts):
     for t, ids in groups.items():
         for i in ids:
             assert tuple(got[i])[1:] == (max(ids), len(ids), i == max(ids), hashlib.sha256(t.encode()).hexdigest())
+    rows = [(1, "A text"), (1, "b text"), (5, "a text"), (5, "a text"), (5, "A TEXT"), (None, "n"), (None, "N"), (None, None), (7, "")]
+    stay = [tuple(r) for r in exact_dedup.kept_rows(docs.sparkSession.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted((i or 0, lowered(t)) for i, t in stay) == [(0, "n"), (1, "b text"), (5, "a text"), (7, "")]
     kept = exact_dedup.kept_rows(docs)
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(map(max, groups.values()))
     assert kept.columns == docs.columns
@@ -179,6 +195,8 @@ def test_dedup_chain_compares_bytes():
 @pytest.mark.parametrize(
     "url, host, path, rule, verdict",
     [
+        ("http://x.net/éporn", "x.net", "/éporn", None, "block"),
+        ("http://x.net/porn9", "x.net", "/porn9", None, "allow"),
         ("HTTP://A.B.ORG/x?y#z", "a.b.org", "/x", "org/", "allow"),
         ("http://example.org/es/1", "example.org", "/es/1", "example.org/es/", "block"),
         ("http://m.example.org/en/12", "m.example.org", "/en/12", "example.org/en/1", "block"),
@@ -200,6 +218,24 @@ def test_url_filter(spark, url, host, path, rule, verdict):
     assert tuple(r)[1:5] == (host, path, rule, verdict)
 
 
+def test_url_vocabulary_from_a_table_and_its_sql(spark, tmp_path):
+    import duckdb
+
+    from tallymark.llm.queries import ORACLE_SQL, op4_url_filter
+
+    table = spark.createDataFrame([("Bad", None), ("good", 1), ("fine", 1), ("best", 2), ("", 1), (None, 1)], "term string, weight int")
+    strict, soft = url_filter.read_vocabulary(table)
+    assert (strict, soft) == (["bad"], {"best": 2, "fine": 1, "good": 1})
+    judge = lambda u: url_filter.url_filter(spark.createDataFrame([(1, u)], "page_id long, url string"), strict=strict, soft=soft).first()["verdict"]
+    assert [judge(f"http://x.net/{p}") for p in ("bad", "good", "good/good", "good/fine", "best", "xbad", "ébad")] == ["block", "allow", "allow", "block", "block", "allow", "block"]
+    urls = ["http://x.net/éporn", "http://x.net/pornö", "http://x.net/free-Pills", "http://x.net/free/free", "http://a.de/xxx9", "HTTP://X.NET/%58xx", None, "porn", "http://x.net/漢porn漢"]
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rows.write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted(tuple(r) for r in op4_url_filter(spark, str(tmp_path)).collect())
+    duckdb.execute(f"CREATE OR REPLACE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert got == sorted(duckdb.execute(ORACLE_SQL["op4_url_filter"]).fetchall())
+
+
 def counts_of(t):
     words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
     windows = Counter(tuple(words[k : k + 3]) for k in range(len(words) - 2))
@@ -233,6 +269,35 @@ def test_quality_rejects_outliers_and_keeps_the_rest(spark):
     assert not any(got[i]["kept"] for i in range(200, 220))
 
 
+@pytest.mark.parametrize("kind", ["lines", "words"])
+def test_quality_rejects_what_repeats(spark, kind):
+    """Many repeated lines alone, or many repeated words alone, where nobody else has any."""
+    import random
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice(["an", "ber", "co", "da", "el", "fi", "go"]) for _ in range(rng.randint(2, 4)))
+    clean = [" ".join(word() for _ in range(rng.randint(80, 200))) for _ in range(200)]
+    junk = []
+    for _ in range(10):
+        if kind == "lines":  # equal lines of two words: no window is found twice within one, and few across
+            lines = [f"{word()} {word()}" for _ in range(40)]
+            junk.append("\n".join([*lines, *rng.sample(lines, 20)]))
+        else:
+            words = [word() for _ in range(100)]
+            junk.append(" ".join([*words, *words[:24], *(word() for _ in range(8))]))
+    rows = [(i, t, "en", "a") for i, t in enumerate(clean + junk)]
+    got = by_id(quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")))
+    assert all(got[i]["kept"] for i in range(200))
+    assert not any(got[i]["kept"] or got[i]["base_failed"] for i in range(200, 210))
+
+
+def test_quality_keeps_namesakes_of_rejected_rows(spark):
+    good = " ".join(f"w{k}" for k in range(80))
+    rows = [(1, good), (1, "short"), (None, good + " x"), (None, "short too"), (2, good), (2, good)]
+    kept = [tuple(r) for r in quality.kept_rows(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(kept, key=str) == sorted([(1, good), (None, good + " x"), (2, good), (2, good)], key=str)
+
+
 def test_covariance_step_matches_numpy(spark):
     """One estimate and its distances against numpy."""
     rng = np.random.default_rng(4)
@@ -258,6 +323,17 @@ def test_sharding(docs, texts):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+@pytest.mark.parametrize("ids", [4, 1])
+def test_copies_fill_all_shards(spark, ids):
+    """Equal texts under few ids, or one: every shard takes its part."""
+    rows = spark.range(400).selectExpr(f"id % {ids} as doc_id", "'the same text' as text").coalesce(1)
+    out = sharding.shard(rows, 40).collect()
+    per = Counter(r["shard"] for r in out)
+    assert len(per) == 40 and max(per.values()) - min(per.values()) <= 2
+    for k in per:
+        assert sorted(r["slot"] for r in out if r["shard"] == k) == list(range(per[k]))
+
+
 def test_shards_are_near_equal(spark):
     rows = spark.range(4000).selectExpr("id as doc_id", "repeat('ab', cast(id % 97 as int)) as text", "case when id % 3 = 0 then 'en' else 'fr' end as lang")
     sizes = [r["b"] for r in sharding.shard(rows, 40).groupBy("shard").agg({"size": "sum"}).withColumnRenamed("sum(size)", "b").collect()]
@@ -396,10 +472,44 @@ def test_pii_goes_on_behind_a_shorter_match():
     assert "4539578763621487 12" in new
 
 
-def test_feistel_is_a_permutation():
+def test_feistel_is_a_permutation_without_fixed_values():
     f = pii.Feistel(b"key")
     for size in (1, 2, 3, 10, 97, 1000):
         assert sorted(f(i, size, "t") for i in range(size)) == list(range(size))
+        assert all(f(f(i, size, "t"), size, "t", back=True) == i for i in range(size))
+        assert size == 1 or all(f(i, size, "t") != i for i in range(size))
+
+
+def test_pii_changes_every_value():
+    """Short local parts and all dates: none stays, none meets another."""
+    p = pii.Pseudonyms(b"k")
+    local = [f"{a}{b}" for a in "abcdefghijklmnopqrstuvwxyz" for b in ["", *"abcdefghijklmnopqrstuvwxyz"]]
+    new = [p.rewrite(f"{x}@x.org")[0].partition("@")[0] for x in local]
+    assert all(a != b for a, b in zip(local, new, strict=True)) and len(set(new)) == len(local)
+    days = [f"{y}-{m:02d}-{d:02d}" for y in range(2000, 2004) for m in range(1, 13) for d in range(1, 29)]
+    new = [p.rewrite(x)[0] for x in days]
+    assert all(a != b for a, b in zip(days, new, strict=True)) and len(set(new)) == len(days)
+
+
+@pytest.mark.parametrize("found", ["(555) 123-4567", "555-123-4567", "(555)123-4567", "555.123.4567"])
+def test_pii_national_phones(found):
+    p = pii.Pseudonyms(b"k")
+    new, counts = p.rewrite(f"call {found}, not 055-123-4567 or 1555-123-4567 or 555-123.4567.")
+    assert counts == {"national": 1} and f"call {found}" not in new
+    assert re.sub(r"\d", "0", new) == re.sub(r"\d", "0", f"call {found}, not 055-123-4567 or 1555-123-4567 or 555-123.4567.")
+
+
+@pytest.mark.parametrize("unit", ["x", "x.", "1", "1-", "a@", "DE89 ", "+1 ", "key=", ". ", "é"])
+def test_pii_is_linear_in_a_text(unit):
+    """A run of twice the length takes about twice the time."""
+    import time
+
+    p, took = pii.Pseudonyms(b"k"), []
+    for size in (1 << 14, 1 << 15, 1 << 17):
+        began = time.monotonic()
+        p.rewrite(unit * (size // len(unit)) + " to me@mail.org")
+        took.append(time.monotonic() - began)
+    assert took[2] < 2 + 10 * took[1]
 
 
 def test_pii_rows(docs, texts, empty):
@@ -487,6 +597,15 @@ def test_simhash(docs, texts):
         assert (got[i]["fingerprint"], got[i]["component_id"]) == (f"{prints[i]:016x}", low[i])
 
 
+def test_simhash_of_null_and_repeated_ids(spark):
+    rows = [(7, "a b c d"), (None, "a b c d"), (None, "x y z q"), (None, "x y z q"), (3, "k l m n"), (3, "K L M N"), (3, "other words than those"), (3, "other words than those")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["component_id"]) for r in simhash.simhash_components(frame).collect())
+    assert got == {(7, 7): 1, (None, 7): 1, (None, None): 2, (3, 3): 4}
+    kept = sorted((str(i), t.lower()) for i, t in map(tuple, simhash.kept_rows(frame).collect()))
+    assert kept == [("3", "k l m n"), ("3", "other words than those"), ("7", "a b c d"), ("None", "x y z q")]
+
+
 @pytest.mark.parametrize("size", [3, 4, 5])
 def test_covering_loses_no_link(size):
     from itertools import combinations
