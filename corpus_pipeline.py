@@ -1,8 +1,9 @@
 """The corpus pipeline: quality rules, exact dedup, SimHash near-dedup, PII, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the last return the columns of
-`documents`; the last returns the pieces of the packed sequences. Null texts fail the quality rules and go; rows that repeat
-an id are judged each for itself; an empty table gives an empty result; further columns are carried along.
+`documents`; the last returns the pieces of the packed sequences. Null and empty texts fail the quality rules and go. Rows are told
+apart by their id and text: rows that share an id, or have none, are judged each for itself, and of rows that repeat both one
+stays. A very long text is a row like others. An empty table gives an empty result; further columns are carried along.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallymark.llm import exact_dedup, packing, pii, quality, simhash
 from tallymark.llm._shared import stash, table
-from tallymark.llm.queries import PII_KEY, tokens
+from tallymark.llm.queries import pii_key, tokens
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,18 +23,18 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, that with the largest id stays."""
+    """Of equal texts, one row with the largest id stays."""
     return exact_dedup.kept_rows(docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies, the document with the smallest id stays."""
+    """Of each component of near copies, one row with the smallest id stays."""
     return simhash.kept_rows(docs)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Private values in the texts become pseudonyms."""
-    return pii.rewritten_rows(docs, PII_KEY)
+    return pii.rewritten_rows(docs, pii_key(spark))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
