@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tallymark.contracts import BUCKETS, SCORING, STATS
-from tallymark.sources.plays import official_sql, plays_sql
+from tallymark.sources import plays as P
 
 TIMEOUT = "(coalesce(play_type = 'no_play', false) AND (NOT contains(lower(coalesce(descr, '')), 'penalty') OR (regexp_matches(coalesce(descr, ''), '^\\s*Timeout\\b') AND NOT contains(lower(coalesce(descr, '')), 'no play'))))"
 SCOPE = f"((coalesce(play_type IN ('pass', 'run', 'no_play'), false) OR coalesce(two_point_attempt, 0) = 1) AND NOT {TIMEOUT})"
@@ -45,9 +45,18 @@ _IMPLIED = [
 ]
 
 
+def plays_sql() -> str:
+    """The plays, made once: each branch that reads them would render them again."""
+    return P.plays_sql().replace("plays AS (", "plays AS MATERIALIZED (", 1)
+
+
+def official_sql() -> str:
+    return P.official_sql().replace("official AS (", "official AS MATERIALIZED (", 1)
+
+
 def scoped(extra: str = "") -> str:
     where = SCOPE if not extra else SCOPE.replace("'no_play')", f"'no_play', {extra})", 1)
-    return f"WITH {plays_sql()}, sc AS (SELECT * FROM plays WHERE {where} AND descr IS NOT NULL)"
+    return f"WITH {plays_sql()}, sc AS MATERIALIZED (SELECT * FROM plays WHERE {where} AND descr IS NOT NULL)"
 
 
 def implied(source: str = "sc") -> str:
@@ -60,9 +69,9 @@ def implied(source: str = "sc") -> str:
 def credits(extra: str = "") -> str:
     """WITH list up to `credits`: game_id, play_id, team, season, season_type, player, stat, value."""
     spelled = "CASE WHEN NOT contains(descr, name) AND contains(descr, regexp_replace(name, '^([A-Za-z]+)\\.\\s+', '\\1.')) THEN regexp_replace(name, '^([A-Za-z]+)\\.\\s+', '\\1.') ELSE name END"
-    return f"""{scoped(extra)}, implied AS ({implied()}),
+    return f"""{scoped(extra)}, implied AS MATERIALIZED ({implied()}),
         named AS (SELECT *, {spelled} AS player FROM implied WHERE {_NAMED('name')}),
-        credits AS (
+        credits AS MATERIALIZED (
             SELECT game_id, play_id, team, season, season_type, player, stat, CAST(sum(value) AS INT) AS value FROM named
             WHERE stat IN ('pass_yds', 'rush_yds', 'rec_yds') GROUP BY ALL HAVING sum(value) <> 0
             UNION ALL SELECT game_id, play_id, team, season, season_type, player, stat, value FROM named WHERE stat NOT IN ('pass_yds', 'rush_yds', 'rec_yds'))"""
@@ -72,7 +81,7 @@ def labels(extra: str = "") -> str:
     """WITH list up to `labels`: one row per scoped play with its canonical label."""
     item = """'{"player":"' || player || '","stat":"' || stat || '","value":' || value || '}'"""
     return f"""{credits(extra)}, items AS (SELECT game_id, play_id, string_agg({item}, ',' ORDER BY {ORD}, player, value) AS items, count(*) AS n FROM credits GROUP BY ALL),
-        labels AS (SELECT sc.*, {NULLIFIED} AS nullified, {BUCKET} AS bucket, {SPLIT} AS split,
+        labels AS MATERIALIZED (SELECT sc.*, {NULLIFIED} AS nullified, {BUCKET} AS bucket, {SPLIT} AS split,
             '{{"nullified":' || CASE WHEN {NULLIFIED} THEN 'true' ELSE 'false' END || ',"credits":[' || coalesce(items, '') || ']}}' AS label, coalesce(n, 0) AS n_credits
             FROM sc LEFT JOIN items USING (game_id, play_id))"""
 
@@ -83,7 +92,7 @@ def matched(extra: str = "") -> str:
     sides = ", ".join(f"coalesce(g.{s}, 0) AS {s}_gt, coalesce(o.{s}, 0) AS {s}_off" for s in STATS)
     return f"""{credits(extra)}, {official_sql()},
         gt AS (SELECT game_id, team, regexp_replace(player, '^([A-Za-z]+)\\.\\s+', '\\1.') AS player, {sums} FROM credits GROUP BY 1, 2, 3),
-        matched AS (SELECT coalesce(g.game_id, o.game_id) AS game_id, coalesce(g.team, o.team) AS team, coalesce(g.player, o.player) AS player, {sides},
+        matched AS MATERIALIZED (SELECT coalesce(g.game_id, o.game_id) AS game_id, coalesce(g.team, o.team) AS team, coalesce(g.player, o.player) AS player, {sides},
             g.game_id IS NOT NULL AS in_gt, o.game_id IS NOT NULL AS in_off, o.fumble_lost_total
             FROM gt g FULL OUTER JOIN official o ON g.game_id = o.game_id AND g.team = o.team AND g.player = o.player)"""
 
