@@ -45,7 +45,11 @@ def _long(wide: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def paired(a: DataFrame, b: DataFrame, resamples: int = 2000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
-    """(bucket, metric, diff, lo, hi) of b minus a under the same draws. Both must have the same clusters."""
+    """(bucket, metric, diff, lo, hi) of b minus a under the same draws. Raises where not both have the same clusters."""
+    games = [x.select("game_id").distinct() for x in (a, b)]
+    alone = games[0].join(games[1], "game_id", "left_anti").union(games[1].join(games[0], "game_id", "left_anti"))
+    if not alone.isEmpty():
+        raise ValueError("paired systems must have the same clusters")
     metrics = lambda s: _long(ratios(resampled(s, resamples, seed)), ["boot", "bucket"])
     points = lambda s: _long(ratios(s.groupBy("bucket").agg(*(F.sum(c).alias(c) for c in SUMS))), ["bucket"])
     both = metrics(a).join(metrics(b).withColumnRenamed("value", "other"), ["boot", "bucket", "metric"])

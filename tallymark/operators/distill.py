@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallymark.contracts import CHECKS, YARDAGE
 from tallymark.functions.labels_json import canonical, parse_label
@@ -84,3 +85,23 @@ def precision(kept: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:
     return joined.groupBy("bucket").agg(
         F.count("*").alias("kept"), F.count("__truth").alias("evaluated"), F.sum(F.when(F.col("answer") == F.col("__truth"), 1).otherwise(0)).alias("correct"),
     )
+
+
+def teacher_view(records: DataFrame) -> DataFrame:
+    """What a teacher may see of a record: keys and text, never a label. Raises where a column that is let through holds labels."""
+    allowed = [c for c in ("game_id", "play_id", "posteam", "yrdln", "descr") if c in records.columns]
+    view = records.select(*allowed)
+    if leaked := [f.name for f in view.schema if not isinstance(f.dataType, T.StringType | T.IntegralType | T.DoubleType)]:
+        raise ValueError(f"a teacher must not see {leaked}")
+    return view
+
+
+def common_to(arms: DataFrame, arm: str, one: str, keys: list[str]) -> DataFrame:
+    """The rows of all arms whose keys one arm has."""
+    return arms.join(arms.where(F.col(arm) == one).select(*keys).distinct(), keys, "left_semi")
+
+
+def in_manifest_order(manifest: DataFrame, keys: str, rows: DataFrame, key: str) -> DataFrame:
+    """at and the rows' columns, for the keys that a manifest lists (an array), by their place in it."""
+    listed = manifest.select(F.posexplode(keys).alias("at", key))
+    return listed.join(rows, key)

@@ -115,3 +115,28 @@ def class_counts(found: DataFrame) -> DataFrame:
 def credit_totals(credits: DataFrame) -> DataFrame:
     """Totals by game, team and normal name."""
     return totals(credits.withColumn("player", normal_name("player")))
+
+
+def identity(ident: str, name: str) -> Column:
+    """A player's key: the id, or "?" and the name where there is none."""
+    return F.coalesce(F.col(ident), F.concat(F.lit("?"), F.col(name)))
+
+
+def match_by_id(ours: DataFrame, theirs: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, gt, off, in_gt, in_off: both sides' sums, whoever has the key. One row per key, so hot keys are summed before the join."""
+    sums = [x.groupBy(*keys).agg(F.sum(value).cast("long").alias(c)).withColumn(f"in_{c}", F.lit(True)) for x, c in ((ours, "gt"), (theirs, "off"))]
+    both = sums[0].join(sums[1], keys, "full_outer")
+    return both.select(*keys, *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gt", "off")), *(F.coalesce(f"in_{c}", F.lit(False)).alias(f"in_{c}") for c in ("gt", "off")))
+
+
+def ambiguous_ids(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """keys, names: keys under which more than one name stands."""
+    return rows.groupBy(*keys).agg(F.count_distinct(name).alias("names")).where("names > 1")
+
+
+def explained(matched: DataFrame) -> DataFrame:
+    """Lost fumbles where either side has any: how many equal, and how many equal the source's sum over all kinds of fumbles."""
+    cells = matched.where("fumble_lost_gt <> 0 or fumble_lost_off <> 0")
+    equal = F.col("fumble_lost_gt") == F.col("fumble_lost_off")
+    told = equal | F.coalesce(F.col("fumble_lost_gt") == F.col("fumble_lost_total"), F.lit(False))
+    return cells.agg(F.count("*").alias("n"), F.count_if(equal).alias("n_equal"), F.count_if(told).alias("n_explained"))

@@ -111,3 +111,9 @@ def next_versions(events: DataFrame) -> DataFrame:
 
 def history(events: DataFrame) -> DataFrame:
     return events.withColumn("nth", F.row_number().over(Window.partitionBy("adapter").orderBy("at")))
+
+
+def metric_value(stored: Column) -> Column:
+    """A metric as files hold it, a number or an object with value, point or mean; null where it isn't from 0 to 1."""
+    number = F.coalesce(*(F.get_json_object(stored, f"$.{k}") for k in ("value", "point", "mean")), F.when(~stored.startswith("{"), stored)).try_cast("double")
+    return F.when(number.between(0, 1), number)

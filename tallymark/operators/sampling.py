@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,16 +42,20 @@ def water_fill(sizes: dict[str, int], n: int, order: list[str] | None = None) ->
 
 
 def proportional(sizes: dict[str, int], n: int) -> dict[str, int]:
-    """Shares by size, one at least, rounded by largest remainder."""
-    total, names = sum(sizes.values()), sorted(sizes)
-    exact = {s: n * sizes[s] / total for s in names}
-    given = {s: min(sizes[s], max(1, int(exact[s]))) for s in names}
-    while sum(given.values()) > n:
-        given[max(names, key=given.__getitem__)] -= 1
-    for s in sorted(names, key=lambda s: int(exact[s]) - exact[s]):
-        if sum(given.values()) < n and given[s] < sizes[s]:
-            given[s] += 1
-    return given
+    """Shares by size, one at least. What is over is taken from the largest shares; what is left goes by largest remainder, one each."""
+    total = sum(sizes.values())
+    quota = {s: divmod(n * k, total) for s, k in sorted(sizes.items())}
+    given = {s: min(sizes[s], whole or 1) for s, (whole, _) in quota.items()}
+    over = sum(given.values()) - n
+    if over > 0:
+        largest = [(-k, s) for s, k in given.items()]
+        heapq.heapify(largest)
+        for _ in range(over):
+            k, s = largest[0]
+            heapq.heapreplace(largest, (k + 1, s))
+        return {s: -k for k, s in sorted(largest, key=lambda x: x[1])}
+    by_remainder = sorted((s for s in quota if given[s] < sizes[s]), key=lambda s: -quota[s][1])
+    return given | {s: given[s] + 1 for s in by_remainder[:-over or 0]}
 
 
 def enriched(sizes: dict[str, int], n: int, whole: str, plain: str) -> dict[str, int]:

@@ -222,3 +222,21 @@ def lora_parameters(layers: DataFrame, rank: int) -> DataFrame:
     p = F.sum(F.lit(rank) * (F.col("n_in") + F.col("n_out")) * F.col("copies"))
     n = F.sum(F.col("n_in") * F.col("n_out") * F.col("copies"))
     return layers.agg(p.alias("trainable"), n.alias("total")).withColumns({"full_bytes": 16 * F.col("total"), "lora_bytes": 2 * F.col("total") + 16 * F.col("trainable")})
+
+
+def routing_faults(recorded: DataFrame, batch: DataFrame, keys: list[str], slot: str) -> DataFrame:
+    """keys, expected, recorded: rows whose recorded slot isn't the batch's, or that only one of them has."""
+    both = recorded.select(*keys, F.col(slot).alias("recorded")).join(batch.select(*keys, F.col(slot).alias("expected")), keys, "full_outer")
+    return both.where(~F.col("expected").eqNullSafe(F.col("recorded"))).select(*keys, "expected", "recorded")
+
+
+def token_gaps(tokens: DataFrame, request: str, at: str, by: list[str]) -> DataFrame:
+    """by, n, p50, p99: percentiles of the time between a request's tokens."""
+    gaps = tokens.withColumn("__gap", F.col(at) - F.lag(at).over(Window.partitionBy(request).orderBy(at))).where("__gap is not null")
+    return gaps.groupBy(*by).agg(F.count("*").alias("n"), F.percentile("__gap", 0.5).alias("p50"), F.percentile("__gap", 0.99).alias("p99"))
+
+
+def adapter_key(name: Column) -> Column:
+    """layer, module and side of a low-rank weight's name, as base_model.model.model.layers.3.self_attn.q_proj.lora_A.weight; null for other names."""
+    part = lambda i: F.regexp_extract(name, r"layers\.(\d+)\.(?:[a-z_]+\.)*?([a-z]+_proj)\.lora_([AB])\.", i)
+    return F.when(part(3) != "", F.struct(part(1).cast("int").alias("layer"), part(2).alias("module"), part(3).alias("side")))

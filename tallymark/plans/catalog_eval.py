@@ -219,8 +219,7 @@ def registry_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry_next_version(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of events below 6000 and users below 40 only, as its SQL has it."""
-    return registry.next_versions(_release_log(spark, sf_dir).where("at < 40 * 150 and cast(substring(adapter, 2) as long) < 40"))
+    return registry.next_versions(_release_log(spark, sf_dir))
 
 
 def json_extract_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,7 +268,7 @@ def stated_yardage_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normalized_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scoped(spark, sf_dir).where("shape in ('run', 'pass')").select(*PLAY, text.without_names("descr").alias("plain"))
+    return _scoped(spark, sf_dir).select(*PLAY, text.without_names("descr").alias("plain"))
 
 
 def labels_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -367,7 +366,7 @@ _DECIDED = f"""{O.labels()}, dm AS (SELECT *, play_id % 7 AS mode, regexp_extrac
     wrongs AS (SELECT game_id, play_id, count(*) AS n_wrong FROM credits c JOIN dm USING (game_id, play_id) WHERE c.stat IN {_Y} AND NOT list_contains(said, CAST(c.value AS VARCHAR)) GROUP BY 1, 2),
     absent AS (SELECT DISTINCT game_id, play_id FROM credits c JOIN dm USING (game_id, play_id) WHERE NOT contains(descr, c.player)),
     dd AS (SELECT dm.*, mode <> 1 AS "schema", CASE WHEN mode <> 1 THEN coalesce(n_wrong, 0) = 0 AND mode <> 3 END AS yardage,
-        CASE WHEN mode <> 1 THEN mode <> 4 AND a.play_id IS NULL AND (mode <> 3 OR contains(descr, 'J.Hurts')) END AS names, mode NOT IN (1, 2, 3) AS agreement
+        CASE WHEN mode <> 1 THEN mode <> 4 AND a.play_id IS NULL AND (mode <> 3 OR contains(descr, 'V.Marlow')) END AS names, mode NOT IN (1, 2, 3) AS agreement
         FROM dm LEFT JOIN wrongs USING (game_id, play_id) LEFT JOIN absent a USING (game_id, play_id)),
     decided AS (SELECT *, "schema" AND coalesce(yardage, true) AND coalesce(names, true) AND agreement AND mode <> 1 AS keep,
         list_filter(['schema' || CASE WHEN "schema" THEN 'x' ELSE '' END, CASE WHEN yardage = false THEN 'yardage' END, CASE WHEN names = false THEN 'names' END, CASE WHEN NOT agreement THEN 'agreement' END], lambda x: x IS NOT NULL AND x <> 'schemax') AS failed FROM dd)"""
@@ -407,7 +406,7 @@ ORACLE_SQL = {
         rest AS (SELECT lang, n FROM given UNION ALL SELECT 'es', k FROM w WHERE k > 0)
         SELECT lang, CAST(n AS BIGINT) AS n FROM rest WHERE n > 0 UNION ALL SELECT 'en', CAST(least(size, (SELECT sum(n) FROM rest)) AS BIGINT) FROM s WHERE lang = 'en'""",
     "normalized_texts": f"""{O.scoped()} SELECT game_id, play_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(descr, '^\\(\\d{{0,2}}:\\d{{2}}\\)\\s*', ''),
-        '\\b(?:[A-Z]{{2,3}}-)?\\d{{1,2}}-[A-Z][A-Za-z'']*\\. ?[A-Za-z][A-Za-z''\\-]*', ' PLAYER ', 'g'), '\\b[A-Z]{{2,3}} \\d{{1,2}}\\b', ' SPOT ', 'g'), '\\d+', '#', 'g') AS plain FROM sc WHERE shape IN ('run', 'pass')""",
+        '\\b(?:[A-Z]{{2,3}}-)?\\d{{1,2}}-[A-Z][A-Za-z'']*\\. ?[A-Za-z][A-Za-z''\\-]*', ' PLAYER ', 'g'), '\\b[A-Z]{{2,3}} \\d{{1,2}}\\b', ' SPOT ', 'g'), '\\d+', '#', 'g') AS plain FROM sc""",
     "whole_group_topup": _TURNS.format(seed=20241)
     + """, core AS (SELECT t.* FROM t JOIN o USING (conv_id) WHERE before < 100), need AS (SELECT role, 60 - count(*) FILTER (WHERE c) AS k FROM (SELECT t.*, conv_id IN (SELECT conv_id FROM core) AS c FROM t) GROUP BY 1),
         pool AS (SELECT *, row_number() OVER (PARTITION BY role ORDER BY sha256('20241:' || conv_id || ':' || turn), conv_id, turn) AS r FROM t WHERE conv_id NOT IN (SELECT conv_id FROM core))
@@ -431,7 +430,7 @@ ORACLE_SQL = {
     "budget_prefix": "SELECT event_id, spent FROM (SELECT event_id, CAST(sum(1 + user_id % 7) OVER (ORDER BY event_id) AS BIGINT) AS spent FROM events) WHERE spent <= 5000",
     "gate_decision": f"{_CAND}, {_GATE.format(v=0.9)} SELECT * FROM checks",
     "gate_promotions": f"""{_CAND}, {_GATE.format(v=0.92)} SELECT model, bool_and(passed) AS promote, coalesce(string_agg("check", ',' ORDER BY "check") FILTER (WHERE NOT passed), '') AS failed FROM checks GROUP BY 1""",
-    "registry_next_version": """SELECT 'a' || user_id AS adapter, 'v' || lpad(CAST(coalesce(max(CASE WHEN event_id % 5 < 2 THEN 1 + event_id % 4 END), 0) + 1 AS VARCHAR), 4, '0') AS version FROM events WHERE event_id < 6000 AND user_id < 40 GROUP BY 1""",
+    "registry_next_version": """SELECT 'a' || user_id AS adapter, 'v' || lpad(CAST(coalesce(max(CASE WHEN event_id % 5 < 2 THEN 1 + event_id % 4 END), 0) + 1 AS VARCHAR), 4, '0') AS version FROM events GROUP BY 1""",
     "json_extract_validate": f"{O.labels()} SELECT game_id, play_id, play_id % 5 <> 1 AS same, play_id % 5 IN (3, 4) AS strict, play_id % 5 = 1 AS failed FROM labels",
     "spot_arithmetic": f"""WITH {O.plays_sql()} SELECT game_id, play_id, yrdln AS los, 100 - los_at AS yardline,
         CASE WHEN los_at + z = 50 THEN '50' WHEN los_at + z = 100 THEN 'OPP 0' WHEN los_at + z < 50 THEN posteam || ' ' || (los_at + z) ELSE defteam || ' ' || (100 - los_at - z) END AS ahead, z AS gained FROM plays""",
@@ -442,7 +441,7 @@ ORACLE_SQL = {
     "regression_filter": f"{O.labels()}, {_pred('a')}, {_pred('b')} SELECT a.game_id, a.play_id FROM sc_a a JOIN sc_b b USING (game_id, play_id) WHERE a.exact AND NOT b.exact",
     "custom_score": f"{O.credits()}, t AS (SELECT game_id, player, CAST(coalesce(sum(value) FILTER (WHERE stat = 'rush_yds'), 0) AS DOUBLE) AS y FROM credits GROUP BY 1, 2) SELECT game_id, player, y / 2 + CASE WHEN y >= 100 THEN 8 ELSE 0 END AS points FROM t",
     "labels_v2": f"""{O.credits()}, c2 AS (SELECT c.game_id, c.play_id, c.player, c.stat, c.value, s.posteam, s.defteam, s.los_at,
-            CASE WHEN c.stat = 'rec_yds' AND s.lateral_reception = 1 AND c.player = CASE WHEN s.lateral_receiver_player_name = 'D. Thomas' THEN 'D.Thomas' ELSE s.lateral_receiver_player_name END THEN s.los_at + CAST(s.receiving_yards AS INT) ELSE s.los_at END AS start
+            CASE WHEN c.stat = 'rec_yds' AND s.lateral_reception = 1 AND c.player = CASE WHEN s.lateral_receiver_player_name = 'R. Pell' THEN 'R.Pell' ELSE s.lateral_receiver_player_name END THEN s.los_at + CAST(s.receiving_yards AS INT) ELSE s.los_at END AS start
             FROM credits c JOIN sc s USING (game_id, play_id)),
         c3 AS (SELECT *, start + value AS stop FROM c2),
         c4 AS (SELECT *, {_SPOT.format(x='start')} AS from_, {_SPOT.format(x='stop')} AS to_ FROM c3),

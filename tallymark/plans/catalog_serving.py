@@ -72,7 +72,7 @@ def lru_pool_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = _t(spark, sf_dir, "conversations").select((F.col("conv_id") % 4).alias("adapter"), F.col("conv_id").alias("request"), F.col("turn").alias("block"), F.substring("text", 1, 1).alias("payload"))
+    turns = _t(spark, sf_dir, "conversations").select((F.col("conv_id") % 4).alias("adapter"), F.col("conv_id").alias("request"), F.col("turn").alias("block"), F.col("text").alias("payload"))
     return serving.prefix_blocks(turns, "request", "block", "payload").withColumn("arrival", F.col("request"))
 
 
@@ -181,7 +181,7 @@ def prompt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fewshot_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = _t(spark, sf_dir, "conversations").where("turn < 4").select("conv_id", "turn", F.substring("role", 1, 4).alias("question"), F.substring("text", 1, 12).alias("answer"))
+    turns = _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("question"), F.coalesce("text", F.lit("")).alias("answer"))
     found = training.few_shot(turns, "conv_id", "turn", "Read one play.")
     return found.select("conv_id", F.array_join(F.transform("messages", lambda m: F.concat_ws(":", m["role"], m["content"])), "|").alias("messages"))
 
@@ -222,7 +222,7 @@ _OUT = """o AS (SELECT event_id, user_id % 16 AS tenant, event_id / 10.0 AS arri
     CASE WHEN event_id % 19 <> 0 THEN event_id / 10.0 + (user_id % 5 + 1) / 16.0 + (user_id % 11) / 8.0 END AS finish_s, event_id % 7 AS n_tokens FROM events),
     l AS (SELECT *, first_token_s - arrival_s AS ttft, CASE WHEN n_tokens >= 2 THEN (finish_s - first_token_s) / (n_tokens - 1) END AS tpot FROM o),
     g AS (SELECT *, coalesce(finish_s IS NOT NULL AND ttft <= 0.25 AND coalesce(tpot <= 0.2, true), false) AS ok FROM l)"""
-_BLOCKS = """b0 AS (SELECT conv_id % 4 AS adapter, conv_id AS request, turn AS block, md5(coalesce(substr(text, 1, 1), '')) AS own FROM conversations),
+_BLOCKS = """b0 AS (SELECT conv_id % 4 AS adapter, conv_id AS request, turn AS block, md5(coalesce(text, '')) AS own FROM conversations),
     b AS (SELECT *, md5(string_agg(own, '') OVER (PARTITION BY request ORDER BY block)) AS chain FROM b0)"""
 
 
@@ -273,7 +273,7 @@ ORACLE_SQL = {
     "cost_rollup": """WITH u AS (SELECT event_type, (user_id % 20) / 4.0 / 8 AS s, CASE event_id % 3 WHEN 0 THEN (event_id % 100 * 10 * 2.0 + user_id % 50 * 8.0) / 1e6 WHEN 1 THEN (event_id % 7) / 1000.0 ELSE (user_id % 20) / 4.0 / 8 * 3.6 / 3600 END AS d FROM events)
         SELECT event_type, count(*) AS n, round(CAST(sum(s) AS DOUBLE), 6) AS seconds, round(CAST(sum(d) AS DOUBLE), 6) AS dollars, round(1000 * CAST(sum(d) AS DOUBLE) / count(*), 6) AS dollars_per_1k FROM u GROUP BY 1""",
     "prompt_render": f"{O.scoped()} SELECT game_id || '#' || play_id AS key, 'posteam: ' || posteam || chr(10) || 'los: ' || yrdln || chr(10) || 'desc: ' || descr AS prompt FROM sc",
-    "fewshot_messages": """SELECT conv_id, 'system:Read one play.|' || string_agg('user:' || substr(role, 1, 4) || '|assistant:' || substr(text, 1, 12), '|' ORDER BY turn) AS messages FROM conversations WHERE turn < 4 GROUP BY 1""",
+    "fewshot_messages": """SELECT conv_id, 'system:Read one play.|' || string_agg('user:' || coalesce(role, '') || '|assistant:' || coalesce(text, ''), '|' ORDER BY turn) AS messages FROM conversations GROUP BY 1""",
     "dataset_manifest": f"""{O.labels()}, j AS (SELECT bucket, '{{"game_id":"' || game_id || '","play_id":' || play_id || ',"label":"' || replace(label, '"', '\\"') || '"}}' AS line FROM labels)
         SELECT bucket, count(*) AS n_rows, CAST(sum(strlen(line) + 1) AS BIGINT) AS n_bytes, bit_xor(CAST('0x' || substr(md5(line), 1, 15) AS BIGINT)) AS folded FROM j GROUP BY 1""",
     "contract_violations": f"""WITH {O.plays_sql()}, p AS (SELECT CASE WHEN descr IS NULL THEN 'descr is missing' WHEN play_type IS NULL THEN 'play_type is missing' WHEN play_type NOT IN ('pass', 'run', 'no_play') THEN 'play_type is outside its vocabulary' END AS problem FROM plays)

@@ -46,7 +46,7 @@ def teacher_samples(labels: DataFrame, k: int = 3) -> DataFrame:
     mode = F.col("play_id") % 7
     name = F.regexp_replace("label", r'"credits":\[', '"credits":[{"player":"Z.Nobody","stat":"rec","value":1},').cast("string")
     name = F.regexp_replace(name, r",\]", "]")
-    yards = F.regexp_replace(F.regexp_replace("label", r'"credits":\[', '"credits":[{"player":"J.Hurts","stat":"rush_yds","value":777},'), r",\]", "]")
+    yards = F.regexp_replace(F.regexp_replace("label", r'"credits":\[', '"credits":[{"player":"V.Marlow","stat":"rush_yds","value":777},'), r",\]", "]")
     out = (
         F.when((mode == 1) & (F.col("sample") == 0), F.expr("substring(label, 1, length(label) - 1)"))
         .when((mode == 2) & (F.col("sample") == 1), F.lit('{"nullified":false,"credits":[{"player":"Q.Other","stat":"int","value":1}]}'))

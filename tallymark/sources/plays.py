@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallymark.plans.shared import stash
 
-_RENDERED: dict[tuple[str, str], str] = {}
+_RENDERED: dict[tuple[str, str], DataFrame] = {}
+
 
 def _pick(index: str, values: list[str]) -> str:
     cases = " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values))
@@ -28,9 +29,9 @@ def _flag(condition: str) -> str:
     return f"CASE WHEN {condition} THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END"
 
 
-_TEAMS, _PASSERS = ["PHI", "DAL", "KC", "SF"], ["J.Hurts", "D.Prescott", "P.Mahomes", "B.Purdy"]
-_RECEIVERS, _RUSHERS = ["A.Brown", "A.St. Brown", "D. Thomas", "C.Lamb", "T.Kelce"], ["D.Henry", "B.Robinson Jr.", "C.McCaffrey"]
-_DEFENDERS = ["T.Diggs", "F.Warner", "M.Garrett"]
+_TEAMS, _PASSERS = ["GRN", "BAY", "OX", "RIO"], ["V.Marlow", "H.Tarrant", "O.Linden", "N.Castor"]
+_RECEIVERS, _RUSHERS = ["E.Quill", "L.St. Orme", "R. Pell", "S.Dorn", "G.Whitlow"], ["K.Bray", "M.Osgood Jr.", "Y.Trent"]
+_DEFENDERS = ["C.Hale", "J.Strand", "D.Voss"]
 
 _BASE = f"""
     SELECT event_id, user_id, ts, value AS amount,
@@ -58,10 +59,17 @@ _SHAPED = f"""
     FROM base b
 """
 
-_RECEIVER_TEXT = "CASE WHEN receiver = 'D. Thomas' THEN 'D.Thomas' ELSE receiver END"
-_LATERAL_TEXT = "CASE WHEN taker = 'D. Thomas' THEN 'D.Thomas' ELSE taker END"
-_CATCH = f"'1-' || passer || ' pass short right to 11-' || {_RECEIVER_TEXT} || ' to ' || end_spot || ' ' || {_gain('y')} || ' (21-' || defender || ').'"
-_RUN = f"'22-' || rusher || ' left tackle to ' || end_spot || ' ' || {_gain('y')} || ' (54-' || defender || ').'"
+_RECEIVER_TEXT = "CASE WHEN receiver = 'R. Pell' THEN 'R.Pell' ELSE receiver END"
+_LATERAL_TEXT = "CASE WHEN taker = 'R. Pell' THEN 'R.Pell' ELSE taker END"
+_CLOCK = "'(' || CAST(1 + user_id % 14 AS STRING) || ':' || CAST(10 + event_id % 49 AS STRING) || ') '"
+_DEPTH = _pick("event_id + 2", ["short left", "deep middle", "short middle", "deep right"])
+_WAY = _pick("event_id + 3", ["up the middle", "left end", "right guard"])
+_THROWS = f"'14-' || passer || ' pass ' || {_DEPTH}"
+_TO = f"' to 86-' || {_RECEIVER_TEXT}"
+_CATCH = f"{_THROWS} || {_TO} || ' to ' || end_spot || ' ' || {_gain('y')} || ' (40-' || defender || ').'"
+_RUN = f"'31-' || rusher || ' ' || {_WAY} || ' to ' || end_spot || ' ' || {_gain('y')} || ' (97-' || defender || ').'"
+_ALL_THE_WAY = "' for ' || CAST(100 - los_at AS STRING) || ' yards, TOUCHDOWN.'"
+_TRY = "'TWO-POINT CONVERSION ATTEMPT. '"
 
 _PLAYS = f"""
     SELECT event_id, user_id, ts, amount, shape, game_id, play_id, season, week, season_type, posteam, defteam, z, los_at, end_at,
@@ -95,32 +103,32 @@ _PLAYS = f"""
         CASE shape WHEN 'fumble_lost' THEN defteam WHEN 'fumble_kept' THEN posteam WHEN 'fumble_twice' THEN posteam WHEN 'sack_fumble' THEN (CASE WHEN z < 3 THEN NULL ELSE defteam END) END AS fumble_recovery_1_team,
         CAST(NULL AS STRING) AS fumbled_2_player_name, CAST(NULL AS STRING) AS fumbled_2_team,
         CASE shape WHEN 'fumble_twice' THEN defteam END AS fumble_recovery_2_team,
-        CASE WHEN shape = 'pass' THEN '(3:12) (Shotgun) ' || {_CATCH}
-            WHEN shape = 'pass_td' THEN '(8:28) 1-' || passer || ' pass deep right to 11-' || {_RECEIVER_TEXT} || ' for ' || CAST(100 - los_at AS STRING) || ' yards, TOUCHDOWN.'
-            WHEN shape IN ('run', 'challenged') THEN '(9:50) ' || {_RUN}
-            WHEN shape = 'run_td' THEN '(4:39) 22-' || rusher || ' right end for ' || CAST(100 - los_at AS STRING) || ' yards, TOUCHDOWN.'
-            WHEN shape = 'incomplete' THEN '(5:16) (No Huddle) 1-' || passer || ' pass incomplete short middle to 11-' || {_RECEIVER_TEXT} || '.'
-            WHEN shape = 'sack' THEN '(10:32) (Shotgun) 1-' || passer || ' sacked at ' || los || ' for -7 yards (55-' || defender || ').'
-            WHEN shape = 'interception' THEN '(4:25) 1-' || passer || ' pass short left intended for 11-' || {_RECEIVER_TEXT} || ' INTERCEPTED by 24-' || defender || ' at ' || end_spot || '.'
-            WHEN shape = 'fumble_lost' THEN '(2:01) ' || {_RUN} || ' FUMBLES (54-' || defender || '), RECOVERED by ' || defteam || '-54-' || defender || ' at ' || end_spot || '.'
-            WHEN shape = 'fumble_kept' THEN '(2:02) ' || {_RUN} || ' FUMBLES (54-' || defender || '), recovered by ' || posteam || '-77-L.Johnson at ' || end_spot || '.'
-            WHEN shape = 'no_play' THEN '(2:41) ' || {_RUN} || ' PENALTY on ' || posteam || ', Illegal Formation, 5 yards, enforced at ' || los || ' - No Play.'
-            WHEN shape = 'timeout' THEN 'Timeout #1 by ' || posteam || ' at 05:00.'
-            WHEN shape = 'penalty_stands' THEN '(3:27) ' || {_CATCH} || ' PENALTY on ' || defteam || '-21-' || defender || ', Face Mask (15 Yards), 2 yards, enforced at ' || end_spot || '.'
-            WHEN shape = 'two_pass' THEN 'TWO-POINT CONVERSION ATTEMPT. 1-' || passer || ' pass to 11-' || {_RECEIVER_TEXT} || ' is complete. ATTEMPT SUCCEEDS.'
-            WHEN shape = 'two_run_fails' THEN 'TWO-POINT CONVERSION ATTEMPT. 22-' || rusher || ' rushes left tackle. ATTEMPT FAILS.'
-            WHEN shape = 'two_dead_ball' THEN 'TWO-POINT CONVERSION ATTEMPT. 1-' || passer || ' pass to 11-' || {_RECEIVER_TEXT} || ' is complete. ATTEMPT SUCCEEDS. PENALTY on ' || defteam || ', Taunting, 15 yards, enforced between downs.'
-            WHEN shape = 'reversed' THEN '(3:48) (Shotgun) 1-' || passer || ' pass incomplete short left to 11-' || {_RECEIVER_TEXT} || '. ' || posteam || ' challenged the incomplete pass ruling, and the play was REVERSED. (Shotgun) ' || {_CATCH}
-            WHEN shape = 'lateral' THEN '(0:03) ' || {_CATCH} || ' Lateral to 12-' || {_LATERAL_TEXT} || ' to ' || lateral_spot || ' ' || {_gain('z')} || '.'
-            WHEN shape = 'kneel' THEN '(0:30) 1-' || passer || ' kneels to ' || los || ' for -1 yards.'
-            WHEN shape = 'kickoff' THEN '4-J.Elliott kicks 65 yards from ' || posteam || ' 35 to end zone, Touchback.'
-            WHEN shape = 'punt' THEN '(7:00) 10-B.Mann punts 45 yards to ' || defteam || ' 20, fair catch.'
-            WHEN shape = 'nameless' THEN '(3:12) 1-' || passer || ' pass short right complete to ' || end_spot || ' ' || {_gain('y')} || '.'
-            WHEN shape = 'timeout_penalty' THEN 'Timeout #2 by ' || defteam || ' at 01:00. Penalty on ' || defteam || ', Delay of Game, declined.'
-            WHEN shape = 'sack_fumble' THEN '(11:26) (Shotgun) 1-' || passer || ' sacked at ' || los || ' for -7 yards (94-' || defender || '). FUMBLES (94-' || defender || ')' || CASE WHEN z < 3 THEN ', ball out of bounds in End Zone, Touchback.' ELSE ', RECOVERED by ' || defteam || '-93-' || defender || ' at ' || los || '.' END
-            WHEN shape = 'fumble_twice' THEN '(6:00) ' || {_RUN} || ' FUMBLES (54-' || defender || '), and recovers at ' || end_spot || '. 22-' || rusher || ' to ' || end_spot || ' for no gain. FUMBLES, RECOVERED by ' || defteam || '-54-' || defender || ' at ' || end_spot || '.'
-            WHEN shape = 'declined' THEN '(1:10) ' || {_RUN} || ' Penalty on ' || defteam || ', Defensive Offside, declined.'
-            WHEN shape = 'spike' THEN '(0:20) 1-' || passer || ' spiked the ball to stop the clock.' END AS descr
+        CASE WHEN shape = 'pass' THEN {_CLOCK} || {_CATCH}
+            WHEN shape = 'pass_td' THEN {_CLOCK} || {_THROWS} || {_TO} || {_ALL_THE_WAY}
+            WHEN shape IN ('run', 'challenged') THEN {_CLOCK} || {_RUN}
+            WHEN shape = 'run_td' THEN {_CLOCK} || '31-' || rusher || ' ' || {_WAY} || {_ALL_THE_WAY}
+            WHEN shape = 'incomplete' THEN '14-' || passer || ' pass incomplete ' || {_DEPTH} || {_TO} || ' (40-' || defender || ').'
+            WHEN shape = 'sack' THEN {_CLOCK} || '14-' || passer || ' sacked at ' || los || ' for no gain (92-' || defender || ').'
+            WHEN shape = 'interception' THEN {_CLOCK} || {_THROWS} || ' intended for 86-' || {_RECEIVER_TEXT} || ' INTERCEPTED by 28-' || defender || ' at ' || end_spot || '. 28-' || defender || ' runs out of bounds.'
+            WHEN shape = 'fumble_lost' THEN {_CLOCK} || {_RUN} || ' FUMBLES (97-' || defender || '), RECOVERED by ' || defteam || '-28-' || defender || ' at ' || end_spot || '.'
+            WHEN shape = 'fumble_kept' THEN {_RUN} || ' FUMBLES, recovered by ' || posteam || '-63-W.Petty at ' || end_spot || '.'
+            WHEN shape = 'no_play' THEN {_CLOCK} || {_RUN} || ' PENALTY on ' || posteam || '-63-W.Petty, Illegal Motion, 5 yards, enforced at ' || los || ' - No Play.'
+            WHEN shape = 'timeout' THEN 'Timeout #3 by ' || posteam || ' at 11:24.'
+            WHEN shape = 'penalty_stands' THEN {_CATCH} || ' PENALTY on ' || defteam || '-40-' || defender || ', Roughing the Passer, 15 yards, enforced at ' || end_spot || '.'
+            WHEN shape = 'two_pass' THEN {_TRY} || '14-' || passer || ' pass' || {_TO} || ' is good. ATTEMPT SUCCEEDS.'
+            WHEN shape = 'two_run_fails' THEN {_TRY} || '31-' || rusher || ' rushes ' || {_WAY} || ', stopped short. ATTEMPT FAILS.'
+            WHEN shape = 'two_dead_ball' THEN {_TRY} || '14-' || passer || ' pass' || {_TO} || ' is good. ATTEMPT SUCCEEDS. PENALTY on ' || defteam || ', Unsportsmanlike Conduct, 15 yards, enforced on the kick.'
+            WHEN shape = 'reversed' THEN {_CLOCK} || '14-' || passer || ' pass incomplete ' || {_DEPTH} || {_TO} || '. A review was asked for, and the play was REVERSED. ' || {_CATCH}
+            WHEN shape = 'lateral' THEN {_CLOCK} || {_CATCH} || ' Lateral to 17-' || {_LATERAL_TEXT} || ' to ' || lateral_spot || ' ' || {_gain('z')} || '.'
+            WHEN shape = 'kneel' THEN '14-' || passer || ' kneels to ' || los || ' for -1 yards.'
+            WHEN shape = 'kickoff' THEN '3-F.Crane kicks 60 yards from ' || posteam || ' 40 to the goal line.'
+            WHEN shape = 'punt' THEN '9-P.Ostler punts 38 yards to ' || defteam || ' 17, downed.'
+            WHEN shape = 'nameless' THEN {_CLOCK} || {_THROWS} || ' is caught at ' || end_spot || ' ' || {_gain('y')} || '.'
+            WHEN shape = 'timeout_penalty' THEN 'Timeout #1 by ' || defteam || ' at 03:41. Penalty on ' || defteam || ', Neutral Zone Infraction, declined.'
+            WHEN shape = 'sack_fumble' THEN {_CLOCK} || '14-' || passer || ' sacked at ' || los || ' for no gain (91-' || defender || '). FUMBLES (91-' || defender || ')' || CASE WHEN z < 3 THEN ', ball out of bounds in End Zone, Touchback.' ELSE ', RECOVERED by ' || defteam || '-96-' || defender || ' at ' || los || '.' END
+            WHEN shape = 'fumble_twice' THEN {_RUN} || ' FUMBLES (97-' || defender || '), and recovers at ' || end_spot || '. 31-' || rusher || ' to ' || end_spot || ' for no gain. FUMBLES, RECOVERED by ' || defteam || '-97-' || defender || ' at ' || end_spot || '.'
+            WHEN shape = 'declined' THEN {_CLOCK} || {_RUN} || ' Penalty on ' || defteam || ', Encroachment, declined.'
+            WHEN shape = 'spike' THEN {_CLOCK} || '14-' || passer || ' spiked the ball at once.' END AS descr
     FROM (SELECT s.*, los_at + y AS end_at, {_spot("los_at")} AS los, {_spot("(los_at + y)")} AS end_spot, {_spot("(los_at + y + z)")} AS lateral_spot FROM shaped s) p
 """
 
@@ -135,8 +143,8 @@ def plays(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _RENDERED:
         events = spark.read.parquet(f"{sf_dir}/events.parquet")
-        _RENDERED[key] = stash(spark.sql(f"WITH {plays_sql('{e}')} SELECT * FROM plays", e=events), "plays").inputFiles()[0].rpartition("/")[0]
-    return spark.read.parquet(_RENDERED[key])
+        _RENDERED[key] = stash(spark.sql(f"WITH {plays_sql('{e}')} SELECT * FROM plays", e=events), "plays")
+    return _RENDERED[key].select("*")
 
 
 #: Totals from an independent source: raw columns by player, kneels included, some players off by a known amount.
@@ -166,7 +174,7 @@ def official_sql() -> str:
     )
     stats = ["pass_yds", "pass_td", "int", "rush_yds", "rush_td", "rec", "rec_yds", "rec_td", "fumble_lost", "two_pt", "fumble_lost_total"]
     sums = ", ".join(f"CAST(coalesce(sum(CASE WHEN stat = '{s}' THEN value END), 0){' + CASE WHEN length(player) % 4 = 1 AND length(game_id) = 3 THEN 1 ELSE 0 END' if s == 'rec_yds' else ''} AS BIGINT) AS {s}" for s in stats)
-    return f"official_parts AS ({parts}), official AS (SELECT game_id, team, CASE WHEN player = 'D. Thomas' THEN 'D.Thomas' ELSE player END AS player, {sums} FROM official_parts GROUP BY 1, 2, 3, official_parts.player)"
+    return f"official_parts AS ({parts}), official AS (SELECT game_id, team, CASE WHEN player = 'R. Pell' THEN 'R.Pell' ELSE player END AS player, {sums} FROM official_parts GROUP BY 1, 2, 3, official_parts.player)"
 
 
 def official(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,11 +9,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from tallymark.plans import catalog_eval, catalog_plays, catalog_serving
+from tallymark.plans import catalog_eval, catalog_more, catalog_plays, catalog_serving
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-OWN = {name: query for c in (catalog_plays, catalog_eval, catalog_serving) for name, query in c.QUERIES.items()}
+OWN = {name: query for c in (catalog_plays, catalog_eval, catalog_serving, catalog_more) for name, query in c.QUERIES.items()}
 
 
 @pytest.fixture(scope="module")
