@@ -38,7 +38,9 @@ MAX_WORD, CACHE_WORDS, CACHE_BYTES, CHUNK_BYTES = 48, 300_000, 8 << 20, 24 << 20
 #: A map task reports a word to the frequency count from so many occurrences in a slice of its documents.
 LEAST_SEEN, SLICE_WORDS = 4, 1 << 19
 #: Arrow batches of words; entries that a task gathers before it sends them to chunks; words whose edges a task holds in a hash table.
-WORD_ROWS, WORD_BYTES, CHUNK_ENTRIES, HELD_WORDS = 16384, 4 << 20, 1 << 18, 1 << 14
+WORD_ROWS, WORD_BYTES, CHUNK_ENTRIES, HELD_WORDS = 16384, 4 << 20, 1 << 18, 1 << 16
+#: Text whose rare words make one task, on average; tasks at most; parts that a task's words are dealt in.
+TASK_BYTES, MAX_TASKS, PARTS = 4 << 20, 1 << 16, 8
 #: Where an edge keeps its score's rank, start and end, and its id; and what marks the bytes of a character that is no piece.
 _RANK, _START, _END, _OTHER = 40, 32, 24, 1 << 36
 UNIGRAM, BPE = 1, 2
@@ -489,7 +491,7 @@ def encode(docs: DataFrame, pieces: Pieces, cache_words: int = CACHE_WORDS, chun
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     counted = rows.select("text").mapInArrow(_frequent(pieces, LEAST_SEEN, SLICE_WORDS), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     common = counted.orderBy(F.desc("n"), "word").limit(cache_words).select("word")
-    ids = stash(encode_words(stash(common, "common-words").repartition("word"), pieces), "common-ids")
+    ids = stash(encode_words(stash(common, "common-words").repartition(-(-cache_words // HELD_WORDS) + 1, "word"), pieces), "common-ids")
     known: dict[str, bytes] = {}
     held = 0
     bounded = ids.select("word", "ids").toArrow()  # at most cache_words short rows
@@ -499,9 +501,11 @@ def encode(docs: DataFrame, pieces: Pieces, cache_words: int = CACHE_WORDS, chun
         if held > CACHE_BYTES:
             break
     shared = spark.sparkContext.broadcast(known)
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = max(1, min(MAX_TASKS, size // TASK_BYTES))
+    parts = PARTS * tasks
     rare = rows.mapInArrow(lambda it: _rare(shared.value, pieces, chunk_bytes, parts)(it), "part int, chunk long, words string")
-    asked = rare.repartition("part").select("part", "chunk", F.explode(F.split("words", " ")).alias("word"))
+    asked = rare.repartition(tasks, "part").select("part", "chunk", F.explode(F.split("words", " ")).alias("word"))
     met = asked.groupBy("part", "word").agg(F.collect_list("chunk").alias("chunks"))
     words = encode_words(met, pieces).mapInArrow(_by_chunk(CHUNK_ENTRIES), "chunk long, words binary")
     blobs = rows.mapInArrow(_blobs(chunk_bytes), "chunk long, blob binary")
