@@ -1,7 +1,7 @@
 """The pipeline's stages on a small fixture, against what each operator says of its own input."""
 
 import corpus_pipeline
-from tallymark.llm import exact_dedup, quality, simhash
+from tallymark.llm import exact_dedup, quality, simhash_wide
 
 
 def test_stages(spark, docs, tmp_path):
@@ -10,7 +10,7 @@ def test_stages(spark, docs, tmp_path):
     checks = [
         lambda d: {r["doc_id"] for r in quality.quality_rules(d).where("kept").collect()},
         lambda d: {r["doc_id"] for r in exact_dedup.exact_dedup(d).where("kept").collect()},
-        lambda d: {r["component_id"] for r in simhash.simhash_components(d).collect()},
+        lambda d: {r["component_id"] for r in simhash_wide.near_components(d).collect()},
         lambda d: {r["doc_id"] for r in d.collect()},
     ]
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
