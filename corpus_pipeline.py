@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymark.llm import exact_dedup, packing, pii, quality, simhash
+from tallymark.llm import exact_dedup, packing, pii, quality, simhash_wide
 from tallymark.llm._shared import stash, table
 from tallymark.llm.queries import pii_key, tokens
 
@@ -28,8 +28,8 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies, one row with the smallest id stays."""
-    return simhash.kept_rows(docs)
+    """Of each component of texts alike by 0.8 or more in shingles of five words, one row with the smallest id stays."""
+    return simhash_wide.kept_rows(docs)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
