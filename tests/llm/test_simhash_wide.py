@@ -102,3 +102,20 @@ def test_odd_rows(spark, empty):
     kept = [(r["doc_id"], r["text"]) for r in simhash_wide.kept_rows(frame).collect()]
     assert sorted((str(i), (t or "")[:20]) for i, t in kept) == sorted([("1", ""), ("4", "A b\nc"), ("4", "a b c d e f"), ("5", long[:20]), ("None", "only without id")])
     assert simhash_wide.near_components(empty).count() == simhash_wide.kept_rows(empty).count() == 0
+
+
+def test_a_hot_group_is_not_expanded(spark, monkeypatch):
+    """Few pairs a text leave the lists, whatever the size of a group of near copies; their links still make one component."""
+    rng = random.Random(3)
+    hot = sentence(rng, 200)
+    texts = [edited(rng, hot, rng.randint(1, 4)) for _ in range(400)]
+    counts, real = [], simhash_wide.components
+
+    def counted(nodes, pairs):
+        counts.append(pairs.count())
+        return real(nodes, pairs)
+
+    monkeypatch.setattr(simhash_wide, "components", counted)
+    got, _ = found(spark, texts)
+    assert set(got.values()) == {0}
+    assert max(counts) < len(texts)
