@@ -10,9 +10,13 @@ piece only out of its own characters, so if each piece comes out of its own char
 that don't are found when a model is loaded, and words that hold one are merged in place, as are words beyond MAX_WORD characters,
 whose lattice would be long.
 
-Frequent words, at most CACHE_WORDS, are encoded first and go to all tasks. The rest is sent once, from the documents to their
-words and back to chunks of documents, where each text is put together. A chunk is a stretch of an input partition. Where a partition
-is read in another order the second time, words may be missing in a chunk: those are merged in place, to the same ids.
+What is met of a byte-pair model's pieces, side by side in one of them, makes classes of characters (here: letters of a script,
+punctuation). No piece holds characters of two classes, so nothing is merged across, and a word is cut into its runs of one class
+first. Runs come back in far more words than words do, and are shorter. The lattice is made of runs; for a unigram model of whole words.
+
+Frequent runs, at most CACHE_WORDS, are encoded first and go to all tasks. The rest is sent once, from the documents to their
+runs and back to chunks of documents, where each text is put together. A chunk is a stretch of an input partition. Where a partition
+is read in another order the second time, runs may be missing in a chunk: those are merged in place, to the same ids.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import re
 import struct
 import zlib
 from collections import Counter
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +45,8 @@ LEAST_SEEN, SLICE_WORDS = 4, 1 << 19
 WORD_ROWS, WORD_BYTES, CHUNK_ENTRIES, HELD_WORDS = 16384, 4 << 20, 1 << 18, 1 << 16
 #: Text whose rare words make one task, on average; tasks at most; parts that a task's words are dealt in.
 TASK_BYTES, MAX_TASKS, PARTS = 4 << 20, 1 << 16, 8
-#: Where an edge keeps its score's rank, start and end, and its id; and what marks the bytes of a character that is no piece.
-_RANK, _START, _END, _OTHER = 40, 32, 24, 1 << 36
+#: Where an edge keeps its score's rank, start and length, and its id; and what marks the bytes of a character that is no piece.
+_RANK, _START, _LENGTH, _OTHER = 40, 32, 24, 1 << 36
 UNIGRAM, BPE = 1, 2
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -80,6 +84,7 @@ class Pieces:
         self.pieces, self.scores, self.plain, self.kind, self.bytes_at, self.unknown = list(pieces), list(scores), list(plain), kind, bytes_at, unknown
         self.longest = max((len(p) for p, ok in zip(pieces, plain, strict=True) if ok), default=1)
         self.odd = self._odd() if kind == BPE else ()
+        self._runs = self._classes() if kind == BPE else re.compile(f"{MARK}*[^{MARK} ]+|{MARK}+")
 
     def table(self) -> dict[str, tuple[float, int]]:
         """Score and id of each piece."""
@@ -98,6 +103,34 @@ class Pieces:
                 odd.append(piece)
         return tuple(odd)
 
+    def _classes(self) -> re.Pattern[str]:
+        """A pattern of runs that no piece crosses. Word marks stand before a run only; a character that joins no other is a run."""
+        above: dict[str, str] = {}
+
+        def top(c: str) -> str:
+            while (up := above.setdefault(c, c)) != c:
+                above[c] = above[up]
+                c = up
+            return c
+
+        for piece, ok in zip(self.pieces, self.plain, strict=True):
+            bare = piece.lstrip(MARK) if ok else ""
+            for a, b in zip(bare, bare[1:]):
+                above[top(a)] = top(b)
+        classes: dict[str, list[str]] = {}
+        for c in sorted(above):
+            classes.setdefault(top(c), []).append(re.escape(c))
+        ways = [f"[{''.join(cs)}]+" for cs in sorted(classes.values(), key=len, reverse=True)]
+        return re.compile(f"{MARK}*(?:{'|'.join([*ways, f'[^{MARK} ]'])})|{MARK}+")
+
+    def runs(self, words: Iterable[str]) -> list[str]:
+        """The runs of words in order, the first of each with its mark. No word has a blank."""
+        return self._runs.findall(" ".join([w if w[0] == MARK else MARK + w for w in words]))
+
+    def apart(self, run: str) -> bool:
+        """Whether a run stays out of the lattice."""
+        return len(run) > MAX_WORD or any(o in run for o in self.odd)
+
     def in_place(self, word: str) -> bool:
         """Whether a word stays out of the lattice."""
         return len(word) > MAX_WORD or any(o in marked(word) for o in self.odd)
@@ -147,7 +180,7 @@ def marked(word: str) -> str:
 
 def decode(ids: Sequence[int], raw: Sequence[bytes]) -> str:
     """The text of ids. raw: `Pieces.raw()`."""
-    text = b"".join([raw[i] for i in ids]).decode("utf-8", "replace")
+    text = b"".join(map(raw.__getitem__, ids)).decode("utf-8", "replace")
     return text[1:] if text[:1] == " " else text
 
 
@@ -269,39 +302,51 @@ def _carried(words: DataFrame) -> tuple[list[str], list[str]]:
 def _merged(words: DataFrame, pieces: Pieces) -> DataFrame:
     """words with ids by merging, best score first, the leftmost of equals.
 
-    An edge is one number: rank, start, end, id. The fold's state holds, for each place, the end and the id (plus one) of the symbol that
-    starts there, 0 for none; characters that are no piece have their bytes in place of the id.
+    An edge is one number: rank, start, length, id. The fold's state is one number too: a bit for each place where a symbol starts, and for
+    the end. An edge joins two neighbours where its first and last bit are set, and one between them, which is cleared. In the end a symbol is
+    an edge, or a character, with its first and last bit set and none between. Characters that are no piece have their bytes in place of the id.
     """
     carry, by = _carried(words)
     whole = F.col("l") > 1
-    edge = F.col("rank") * (1 << _RANK) + F.col("s") * (1 << _START) + (F.col("s") + F.col("l")) * (1 << _END) + F.col("id")
+    edge = F.col("rank") * (1 << _RANK) + F.col("s") * (1 << _START) + F.col("l") * (1 << _LENGTH) + F.col("id")
     code = F.conv(F.hex(F.encode("piece", "UTF-8")), 16, 10).cast("long")
     char = F.col("s") * (1 << _RANK) + F.coalesce(F.col("id") + F.lit(1).cast("long"), code + _OTHER)
     lists = {"edges": F.when(whole, edge), "chars": F.when(~whole, char)}
-    grouped = lattice(words, pieces).groupBy(*by).agg(*(F.first(c).alias(c) for c in carry if c not in by), *(F.sort_array(F.collect_list(c)).alias(k) for k, c in lists.items()))
+    first = [F.first(c).alias(c) for c in [*carry, "marked"] if c not in by]
+    grouped = lattice(words, pieces).groupBy(*by).agg(*first, *(F.collect_list(c).alias(k) for k, c in lists.items()))
     field = lambda x, at, bits: F.shiftright(x, at).bitwiseAND(F.lit((1 << bits) - 1))
-    end = lambda state, at: F.get(state, at.cast("int")).bitwiseAND(F.lit(255))
-    first = F.concat(F.transform("chars", lambda x: field(x, 0, _RANK) * 256 + F.shiftright(x, _RANK) + 1), F.array(F.lit(0).cast("long")))
+    left = lambda x, n: F.call_function("shiftleft", F.lit(x).cast("long") if isinstance(x, int) else x, n)
+    right = lambda x, n: F.call_function("shiftright", x, n)
+    start, length = (lambda e: field(e, _START, 8).cast("int")), (lambda e: field(e, _LENGTH, 8).cast("int"))
+    bits = lambda state, e: right(state, start(e)).bitwiseAND(left(2, length(e)) - 1)
+    ends = lambda e: left(1, length(e)) + 1
 
     def lay(state: Column, e: Column) -> Column:
-        a, z = field(e, _START, 8), field(e, _END, 8)
-        symbol = field(e, 0, _END) * 256 + 256 + z
-        laid = F.transform(state, lambda x, i: F.when(i == a, symbol).when((i > a) & (i < z), F.lit(0).cast("long")).otherwise(x))
-        return F.when((end(state, a) > 0) & (end(state, end(state, a)) == z) & (end(state, a) < z), laid).otherwise(state)
+        joins = (F.bit_count(bits(state, e)) == 3) & (bits(state, e).bitwiseAND(ends(e)) == ends(e))
+        return F.when(joins, state.bitwiseAND(F.bitwise_not(left(left(1, length(e)) - 2, start(e))))).otherwise(state)
 
-    symbols = F.filter(F.aggregate("edges", first, lay), lambda x: x != 0)
+    cut = grouped.withColumn("state", F.aggregate(F.sort_array("edges"), left(2, F.char_length("marked")) - 1, lay))
+    laid = F.transform(F.filter("edges", lambda e: bits(F.col("state"), e) == ends(e)), lambda e: field(e, _START, 8) * (1 << _RANK) + field(e, 0, _LENGTH) + 1)
+    single = F.filter("chars", lambda c: right(F.col("state"), F.shiftright(c, _RANK).cast("int")).bitwiseAND(F.lit(3)) == 3)
+    symbols = F.transform(F.sort_array(F.concat(laid, single)), lambda x: field(x, 0, _RANK))
 
     def id_or_bytes(x: Column) -> Column:
         if pieces.bytes_at is None:
             other = F.array(F.lit(pieces.unknown))
         else:
-            n = F.ceil(F.length(F.hex(field(x, 8, 32))) / 2).cast("int")
-            other = F.transform(F.sequence(F.lit(1), n), lambda k: (F.call_function("shiftright", x, 8 + 8 * (n - k)).bitwiseAND(F.lit(255)) + pieces.bytes_at).cast("int"))
-        return F.when(x >= _OTHER * 256, other).otherwise(F.array((F.shiftright(x, 8) - 1).cast("int")))
+            n = F.ceil(F.length(F.hex(field(x, 0, 32))) / 2).cast("int")
+            other = F.transform(F.sequence(F.lit(1), n), lambda k: (right(x, 8 * (n - k)).bitwiseAND(F.lit(255)) + pieces.bytes_at).cast("int"))
+        return F.when(x >= _OTHER, other).otherwise(F.array((x - 1).cast("int")))
+
+    plain = F.transform("symbols", lambda x: (x - 1).cast("int"))
+    ids = F.when(F.exists("symbols", lambda x: x >= _OTHER), F.flatten(F.transform("symbols", id_or_bytes))).otherwise(plain)
+    return cut.withColumn("symbols", symbols).select(*carry, ids.alias("ids"))
 
-    plain = F.transform("symbols", lambda x: (F.shiftright(x, 8) - 1).cast("int"))
-    ids = F.when(F.exists("symbols", lambda x: x >= _OTHER * 256), F.flatten(F.transform("symbols", id_or_bytes))).otherwise(plain)
-    return grouped.withColumn("symbols", symbols).select(*carry, ids.alias("ids"))
+
+def _encode_runs(runs: DataFrame, pieces: Pieces) -> DataFrame:
+    """Runs, as `word`, with ids."""
+    known = runs.withColumn("marked", F.col("word"))
+    return _viterbi(known, pieces) if pieces.kind == UNIGRAM else _merged(known, pieces)
 
 
 def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
@@ -313,7 +358,12 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
 def _frequent(pieces: Pieces, least: int, slice_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def report() -> pa.RecordBatch:
-            kept = [(w, n) for w, n in seen.items() if n >= least and not pieces.in_place(w)]
+            met = Counter(pieces.runs(w for w, n in seen.items() if n == 1))
+            for w, n in seen.items():
+                if n > 1:
+                    for r in pieces.runs((w,)):
+                        met[r] += n
+            kept = [(r, n) for r, n in met.items() if n >= least and not pieces.apart(r)]
             seen.clear()
             return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], ["word", "n"])
 
@@ -344,13 +394,13 @@ def _chunks(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[tup
 
 
 def _rare(cache: dict[str, bytes], pieces: Pieces, chunk_bytes: int, parts: int):
-    """(part, chunk, words) for words that are not in the cache, once for each chunk: in order, with blanks between."""
+    """(part, chunk, words) for runs that are not in the cache, once for each chunk: in order, with blanks between."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(chunk: int) -> pa.RecordBatch:
             dealt: dict[int, list[str]] = {}
-            for w in sorted(words.difference(cache)):
-                if not pieces.in_place(w):
+            for w in sorted(set(pieces.runs(words)).difference(cache)):
+                if not pieces.apart(w):
                     dealt.setdefault(zlib.crc32(w.encode()) % parts, []).append(w)
             return pa.RecordBatch.from_arrays([pa.array(list(dealt), pa.int32()), pa.array([chunk] * len(dealt), pa.int64()), pa.array([" ".join(ws) for ws in dealt.values()], pa.string())], ["part", "chunk", "words"])
 
@@ -391,7 +441,7 @@ def _unpress(blob: bytes) -> Iterator[pa.RecordBatch]:
 
 
 def _by_chunk(entries: int):
-    """Encoded words for the chunks that asked for them, compressed by chunk: the words in order, and their ids."""
+    """Encoded runs for the chunks that asked for them, compressed by chunk: the runs in order, and their ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=6).compress
@@ -429,7 +479,7 @@ def _halves(rows: list[tuple[str, list[int]]]) -> bytes:
 
 
 def _read_words(blob: bytes) -> Iterator[tuple[str, bytes]]:
-    """Words and their ids, little-endian unsigned 32-bit."""
+    """Runs and their ids, little-endian unsigned 32-bit."""
     data = zstandard.ZstdDecompressor().decompress(blob)
     n, size = struct.unpack_from("<II", data)
     ends = 4 * np.cumsum(np.frombuffer(data, "<u2", n, 8 + size), dtype=np.int64)
@@ -445,25 +495,40 @@ def _assemble(pieces: Pieces, cache: dict[str, bytes], with_ids: bool):
     kinds = [pa.int64()] * 4 + [pa.bool_()]
     table, raw = pieces.table(), pieces.raw()
 
+    class Runs(dict):
+        """Runs and their ids; what isn't there is in the cache, or merged in place."""
+
+        def __missing__(self, run: str) -> bytes:
+            found = cache.get(run)
+            if found is None:
+                found = np.array(merge_long(run, pieces, table), dtype="<u4").tobytes()
+            self[run] = found
+            return found
+
     class Known(dict):
-        """Words and their ids; what isn't there is in the cache, or merged in place."""
+        """Words and their ids, put together of their runs."""
+
+        def __init__(self, runs: Runs) -> None:
+            self.runs = runs
 
         def __missing__(self, word: str) -> bytes:
-            found = cache.get(word)
+            whole = marked(word)
+            found = self.runs.get(whole) or cache.get(whole)
             if found is None:
-                found = np.array(merge_long(marked(word), pieces, table), dtype="<u4").tobytes()
+                found = b"".join([self.runs[r] for r in pieces.runs((whole,))])
             self[word] = found
             return found
 
     def run(blobs: pa.Table, words: pa.Table) -> pa.Table:
-        known, rows, data_ = Known(), [], []
+        runs, rows, data_ = Runs(), [], []
         for blob in words["words"].to_pylist():
-            known.update(_read_words(blob))
+            runs.update(_read_words(blob))
+        known = Known(runs)
         for blob in blobs["blob"].to_pylist():
             for batch in _unpress(blob):
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     words_ = words_of(text)
-                    data = b"".join([known[w] for w in words_])
+                    data = b"".join(map(known.__getitem__, words_))
                     same = decode(np.frombuffer(data, dtype="<i4").tolist(), raw) == text.replace(MARK, " ")
                     rows.append((doc_id, len(words_), len(data) // 4, zlib.crc32(data), same))
                     data_.append(data if with_ids else b"")
@@ -491,7 +556,7 @@ def encode(docs: DataFrame, pieces: Pieces, cache_words: int = CACHE_WORDS, chun
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     counted = rows.select("text").mapInArrow(_frequent(pieces, LEAST_SEEN, SLICE_WORDS), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     common = counted.orderBy(F.desc("n"), "word").limit(cache_words).select("word")
-    ids = stash(encode_words(stash(common, "common-words").repartition(-(-cache_words // HELD_WORDS) + 1, "word"), pieces), "common-ids")
+    ids = stash(_encode_runs(stash(common, "common-words").repartition(-(-cache_words // HELD_WORDS) + 1, "word"), pieces), "common-ids")
     known: dict[str, bytes] = {}
     held = 0
     bounded = ids.select("word", "ids").toArrow()  # at most cache_words short rows
@@ -507,7 +572,7 @@ def encode(docs: DataFrame, pieces: Pieces, cache_words: int = CACHE_WORDS, chun
     rare = rows.mapInArrow(lambda it: _rare(shared.value, pieces, chunk_bytes, parts)(it), "part int, chunk long, words string")
     asked = rare.repartition(tasks, "part").select("part", "chunk", F.explode(F.split("words", " ")).alias("word"))
     met = asked.groupBy("part", "word").agg(F.collect_list("chunk").alias("chunks"))
-    words = encode_words(met, pieces).mapInArrow(_by_chunk(CHUNK_ENTRIES), "chunk long, words binary")
+    words = _encode_runs(met, pieces).mapInArrow(_by_chunk(CHUNK_ENTRIES), "chunk long, words binary")
     blobs = rows.mapInArrow(_blobs(chunk_bytes), "chunk long, blob binary")
     out = "doc_id long, n_words long, n_pieces long, ids_crc32 long, round_trip boolean" + ", ids array<int>" * with_ids
     return blobs.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(lambda a, b: _assemble(pieces, shared.value, with_ids)(a, b), out)

@@ -568,6 +568,26 @@ def test_merging_by_aggregate_is_the_library(spark, pieces):
     assert got == {w: library.encode(sentencepiece_lattice.marked(w)[1:].replace("▁", " ")) for w in words}
 
 
+def test_words_are_cut_where_no_piece_crosses(pieces):
+    """Few runs in many words; the runs' ids are the words' in the library, marks, digits and characters without piece included."""
+    import public_tokenizers
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(PIECES))
+    parts = ["Haus", "thnd", "дом", "ñosos", "x"]
+    words = [a + gap + b for a in parts for b in parts for gap in (".\n", ",***", "7", "漢", "\u0301\u4dbf")]
+    words += ["▁▁▁ab.", "▁▁", "12345", "─══─", "a-b", "\U0001f600é"]
+    runs = pieces.runs(words)
+    assert pieces.runs(["thnd.\nErer12"]) == ["▁thnd", ".", "\n", "Erer", "1", "2"] and pieces.runs(["▁▁▁ab."]) == ["▁▁▁ab", "."]
+    assert "".join(runs) == "".join(map(sentencepiece_lattice.marked, words)) and len(set(runs)) < len(words) / 3
+    table = pieces.table()
+    for w in words:
+        ids = [i for r in pieces.runs([w]) for i in sentencepiece_lattice.merge_long(r, pieces, table)]
+        assert ids == library.encode(sentencepiece_lattice.marked(w)[1:].replace("▁", " "))
+    classes = [{r for r in pieces.runs([p]) if r} for p, ok in zip(pieces.pieces, pieces.plain, strict=True) if ok]
+    assert all(len(c) == 1 for c in classes)
+
+
 def test_unigram_lattice_is_viterbi(spark):
     table = {"▁": -3.0, "▁a": -2.0, "a": -2.5, "b": -2.2, "ab": -3.1, "▁ab": -4.4, "ba": -2.9, "c": -5.0}
     pieces = sentencepiece_lattice.Pieces([*table, "<unk>"], [*table.values(), 0.0], [True] * len(table) + [False], sentencepiece_lattice.UNIGRAM, None, len(table))
