@@ -127,6 +127,10 @@ class Pieces:
         """The runs of words in order, the first of each with its mark. No word has a blank."""
         return self._runs.findall(" ".join([w if w[0] == MARK else MARK + w for w in words]))
 
+    def cut(self, word: str) -> list[str]:
+        """The runs of a word that has its mark."""
+        return self._runs.findall(word)
+
     def apart(self, run: str) -> bool:
         """Whether a run stays out of the lattice."""
         return len(run) > MAX_WORD or any(o in run for o in self.odd)
@@ -358,11 +362,12 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
 def _frequent(pieces: Pieces, least: int, slice_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def report() -> pa.RecordBatch:
-            met = Counter(pieces.runs(w for w, n in seen.items() if n == 1))
+            met, alike = Counter(), {}
             for w, n in seen.items():
-                if n > 1:
-                    for r in pieces.runs((w,)):
-                        met[r] += n
+                alike.setdefault(n, []).append(w)
+            for n, words in alike.items():
+                for r, k in Counter(pieces.runs(words)).items():
+                    met[r] += n * k
             kept = [(r, n) for r, n in met.items() if n >= least and not pieces.apart(r)]
             seen.clear()
             return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], ["word", "n"])
@@ -433,7 +438,7 @@ def _press(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema) as writer:
         writer.write_batch(batch)
-    return zstandard.ZstdCompressor(level=6).compress(sink.getvalue().to_pybytes())
+    return zstandard.ZstdCompressor(level=3).compress(sink.getvalue().to_pybytes())
 
 
 def _unpress(blob: bytes) -> Iterator[pa.RecordBatch]:
@@ -515,7 +520,7 @@ def _assemble(pieces: Pieces, cache: dict[str, bytes], with_ids: bool):
             whole = marked(word)
             found = self.runs.get(whole) or cache.get(whole)
             if found is None:
-                found = b"".join([self.runs[r] for r in pieces.runs((whole,))])
+                found = b"".join(map(self.runs.__getitem__, pieces.cut(whole)))
             self[word] = found
             return found
 
@@ -529,7 +534,7 @@ def _assemble(pieces: Pieces, cache: dict[str, bytes], with_ids: bool):
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     words_ = words_of(text)
                     data = b"".join(map(known.__getitem__, words_))
-                    same = decode(np.frombuffer(data, dtype="<i4").tolist(), raw) == text.replace(MARK, " ")
+                    same = decode(memoryview(data).cast("I"), raw) == text.replace(MARK, " ")
                     rows.append((doc_id, len(words_), len(data) // 4, zlib.crc32(data), same))
                     data_.append(data if with_ids else b"")
         columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
