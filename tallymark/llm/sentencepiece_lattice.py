@@ -25,11 +25,11 @@ import heapq
 import re
 import struct
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,9 +38,11 @@ from pyspark.sql import functions as F
 from tallymark.llm._shared import session, stash
 
 MARK = "▁"
-MAX_WORD, CACHE_WORDS, CACHE_BYTES, CHUNK_BYTES = 48, 300_000, 8 << 20, 24 << 20
+MAX_WORD, CACHE_WORDS, CACHE_BYTES, CHUNK_BYTES = 48, 300_000, 8 << 20, 12 << 20
 #: A map task reports a word to the frequency count from so many occurrences in a slice of its documents.
-LEAST_SEEN, SLICE_WORDS = 4, 1 << 19
+LEAST_SEEN, SLICE_WORDS = 4, 1 << 22
+#: Words that are cut into runs at a time.
+RUN_WORDS = 1 << 16
 #: Arrow batches of words; entries that a task gathers before it sends them to chunks; words whose edges a task holds in a hash table.
 WORD_ROWS, WORD_BYTES, CHUNK_ENTRIES, HELD_WORDS = 16384, 4 << 20, 1 << 18, 1 << 16
 #: Text whose rare words make one task, on average; tasks at most; parts that a task's words are dealt in.
@@ -128,12 +130,15 @@ class Pieces:
         return self._runs.findall(" ".join([w if w[0] == MARK else MARK + w for w in words]))
 
     def cut(self, word: str) -> list[str]:
-        """The runs of a word that has its mark."""
+        """The runs of a word that has its mark, or of several with blanks between."""
         return self._runs.findall(word)
 
-    def apart(self, run: str) -> bool:
-        """Whether a run stays out of the lattice."""
-        return len(run) > MAX_WORD or any(o in run for o in self.odd)
+    def in_lattice(self, runs: pa.Array) -> pa.Array:
+        """Which runs don't stay out of the lattice."""
+        within = pc.less_equal(pc.utf8_length(runs), MAX_WORD)
+        for odd in self.odd:
+            within = pc.and_not(within, pc.match_substring(runs, odd))
+        return within
 
     def in_place(self, word: str) -> bool:
         """Whether a word stays out of the lattice."""
@@ -359,65 +364,108 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
     return _viterbi(known, pieces) if pieces.kind == UNIGRAM else _merged(known, pieces)
 
 
+def _words(texts: pa.Array) -> pa.ListArray:
+    """`words_of` of each text."""
+    texts = texts.cast(pa.string())
+    odd = pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.match_substring(texts, MARK)), pc.match_substring_regex(texts, r"\A(?: |\z)| \z"))
+    split = pc.split_pattern(texts, " ")
+    if not pc.any(odd).as_py():
+        return split
+    others = pa.array([words_of(t) for t in texts.filter(odd).to_pylist()], split.type)
+    where = np.arange(len(texts))
+    where[odd.to_numpy(zero_copy_only=False)] = len(texts) + np.arange(len(others))
+    return pa.concat_arrays([split, others]).take(pa.array(where))
+
+
+def _joined(words: pa.Array) -> bytes:
+    """The words, none of which has a blank, with blanks between."""
+    return pc.binary_join(_lists(np.array([len(words)]), words), " ")[0].as_buffer().to_pybytes()
+
+
+def _runs(words: pa.Array, pieces: Pieces) -> pa.Array:
+    """The runs of words in order, the first of each with its mark, and no other."""
+    whole = pc.if_else(pc.starts_with(words, MARK), words, pc.binary_join_element_wise(MARK, words, ""))
+    parts = (_joined(whole.slice(a, RUN_WORDS)).decode() for a in range(0, len(words), RUN_WORDS))
+    return pa.concat_arrays([pa.array([], pa.string()), *(pa.array(pieces.cut(part), pa.string()) for part in parts)])
+
+
+def _firsts(runs: pa.Array) -> np.ndarray:
+    """Where the words of `_runs` begin."""
+    return np.flatnonzero(pc.starts_with(runs, MARK).to_numpy(zero_copy_only=False))
+
+
+def _offsets(lengths: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
+
+
+def _lists(lengths: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(_offsets(lengths)), values)
+
+
+def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order in which equal keys stand together, in the order they had; the different keys; how many there are of each."""
+    different, counts = np.unique(keys, return_counts=True)
+    return np.argsort(keys, kind="stable"), different, counts
+
+
 def _frequent(pieces: Pieces, least: int, slice_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def report() -> pa.RecordBatch:
-            met, alike = Counter(), {}
-            for w, n in seen.items():
-                alike.setdefault(n, []).append(w)
-            for n, words in alike.items():
-                for r, k in Counter(pieces.runs(words)).items():
-                    met[r] += n * k
-            kept = [(r, n) for r, n in met.items() if n >= least and not pieces.apart(r)]
-            seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], ["word", "n"])
-
-        seen: Counter[str] = Counter()
+            counted = pa.concat_arrays([pa.array([], pa.string()), *held]).value_counts()
+            counted = counted.filter(pc.greater(counted.field(1), 1))  # the others are mostly not worth their cutting
+            runs = _runs(counted.field(0), pieces)
+            each = counted.field(1).to_numpy().repeat(np.diff(_firsts(runs), append=len(runs)))
+            coded = runs.dictionary_encode()
+            met = np.bincount(coded.indices.to_numpy(), each, len(coded.dictionary)).astype(np.int64)
+            held.clear()
+            kept = pc.and_(pa.array(met >= least), pieces.in_lattice(coded.dictionary))
+            return pa.RecordBatch.from_arrays([coded.dictionary.filter(kept), pa.array(met).filter(kept)], ["word", "n"])
+
+        held: list[pa.Array] = []
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(words_of(text))
-            if len(seen) > slice_words:
+            held.append(_words(batch.column(0)).flatten())
+            if sum(map(len, held)) > slice_words:
                 yield report()
         yield report()
 
     return run
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[tuple[int, list[int], list[str]]]:
-    """Ids and texts of the documents of each chunk, batch by batch."""
+def _chunks(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The documents of each chunk, batch by batch."""
     chunk, held = TaskContext.get().partitionId() << 32, 0
     for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        a = 0
-        for z, text in enumerate(texts, 1):
-            held += len(text)
-            if held > chunk_bytes or z == len(texts):
-                yield chunk, ids[a:z], texts[a:z]
+        a, lengths = 0, pc.utf8_length(batch.column(1)).to_pylist()
+        for z, length in enumerate(lengths, 1):
+            held += length
+            if held > chunk_bytes or z == len(lengths):
+                yield chunk, batch.slice(a, z - a)
                 a = z
             if held > chunk_bytes:
                 chunk, held = chunk + 1, 0
 
 
-def _rare(cache: dict[str, bytes], pieces: Pieces, chunk_bytes: int, parts: int):
+def _rare(cache: pa.Table, pieces: Pieces, chunk_bytes: int, parts: int):
     """(part, chunk, words) for runs that are not in the cache, once for each chunk: in order, with blanks between."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(chunk: int) -> pa.RecordBatch:
-            dealt: dict[int, list[str]] = {}
-            for w in sorted(set(pieces.runs(words)).difference(cache)):
-                if not pieces.apart(w):
-                    dealt.setdefault(zlib.crc32(w.encode()) % parts, []).append(w)
-            return pa.RecordBatch.from_arrays([pa.array(list(dealt), pa.int32()), pa.array([chunk] * len(dealt), pa.int64()), pa.array([" ".join(ws) for ws in dealt.values()], pa.string())], ["part", "chunk", "words"])
-
-        now, words = None, set()
-        for chunk, _, texts in _chunks(batches, chunk_bytes):
-            if chunk != now and words:
+            runs = _runs(pa.concat_arrays(held).unique(), pieces).unique()
+            runs = runs.filter(pc.and_(pieces.in_lattice(runs), pc.invert(pc.is_in(runs, cached))))
+            runs = runs.take(pc.sort_indices(runs))
+            order, dealt, counts = _grouped(np.fromiter(map(zlib.crc32, _joined(runs).split(b" ")[: len(runs)]), np.int64, len(runs)) % parts)
+            words = pc.binary_join(_lists(counts, runs.take(pa.array(order))), " ")
+            return pa.RecordBatch.from_arrays([pa.array(dealt, pa.int32()), pa.array([chunk] * len(dealt), pa.int64()), words], ["part", "chunk", "words"])
+
+        cached = cache["word"].combine_chunks()
+        now, held = None, []
+        for chunk, batch in _chunks(batches, chunk_bytes):
+            if chunk != now and held:
                 yield emit(now)
-                words = set()
+                held.clear()
             now = chunk
-            for text in texts:
-                words.update(words_of(text))
-        if words:
+            held.append(_words(batch.column(1)).flatten().unique())
+        if held:
             yield emit(now)
 
     return run
@@ -427,9 +475,8 @@ def _blobs(chunk_bytes: int):
     """Each chunk's documents, compressed: what is shuffled is a third of the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, ids, texts in _chunks(batches, chunk_bytes):
-            blob = _press(pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"]))
-            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([blob], pa.binary())], ["chunk", "blob"])
+        for chunk, batch in _chunks(batches, chunk_bytes):
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([_press(batch)], pa.binary())], ["chunk", "blob"])
 
     return run
 
@@ -450,98 +497,97 @@ def _by_chunk(entries: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=6).compress
-        held: dict[int, list[tuple[str, list[int]]]] = {}
-        n = 0
 
         def emit() -> pa.RecordBatch:
-            blobs = []
-            for rows in held.values():
-                rows.sort()
-                words = " ".join([w for w, _ in rows]).encode()  # no word has a blank
-                counts = np.array([len(ids) for _, ids in rows], "<u2").tobytes()
-                blobs.append(press(struct.pack("<II", len(rows), len(words)) + words + counts + _halves(rows)))
-            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(blobs, pa.binary())], ["chunk", "words"])
+            rows = pa.Table.from_batches(held).sort_by("word").combine_chunks()
             held.clear()
-            return out
+            words, chunks, ids = (rows[c].combine_chunks() for c in ("word", "chunks", "ids"))
+            order, asking, counts = _grouped(chunks.flatten().to_numpy())
+            of = chunks.value_parent_indices().take(pa.array(order))
+            joined = pc.binary_join(_lists(counts, words.cast(pa.string()).take(of)), " ").cast(pa.binary()).to_pylist()  # no word has a blank
+            ids = ids.take(of)
+            lengths, values = np.diff(ids.offsets.to_numpy()).astype("<u2"), ids.flatten().to_numpy().astype("<u4")
+            at, ends = ids.offsets.to_numpy() - ids.offsets[0].as_py(), _offsets(counts)
+            blobs = []
+            for a, z, text in zip(ends[:-1].tolist(), ends[1:].tolist(), joined, strict=True):
+                blobs.append(press(struct.pack("<II", z - a, len(text)) + text + lengths[a:z].tobytes() + _halves(values[at[a] : at[z]])))
+            return pa.RecordBatch.from_arrays([pa.array(asking, pa.int64()), pa.array(blobs, pa.binary())], ["chunk", "words"])
 
+        held: list[pa.RecordBatch] = []
+        n = 0
         for batch in batches:
-            for word, chunks, ids in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("word", "chunks", "ids")), strict=True):
-                for c in chunks:
-                    held.setdefault(c, []).append((word, ids))
-                n += len(chunks)
+            held.append(batch)
+            n += len(batch.column(batch.schema.get_field_index("chunks")).flatten())
             if n > entries:
                 yield emit()
                 n = 0
-        if held:
+        if n:
             yield emit()
 
     return run
 
 
-def _halves(rows: list[tuple[str, list[int]]]) -> bytes:
+def _halves(ids: np.ndarray) -> bytes:
     """All ids, their lower halves before their upper halves, which are mostly 0."""
-    return np.array([i for _, ids in rows for i in ids], "<u4").view("<u2").reshape(-1, 2).T.tobytes()
+    return ids.view("<u2").reshape(-1, 2).T.tobytes()
 
 
-def _read_words(blob: bytes) -> Iterator[tuple[str, bytes]]:
-    """Runs and their ids, little-endian unsigned 32-bit."""
+def _read_words(blob: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Runs, how many ids each has, and these ids."""
     data = zstandard.ZstdDecompressor().decompress(blob)
     n, size = struct.unpack_from("<II", data)
-    ends = 4 * np.cumsum(np.frombuffer(data, "<u2", n, 8 + size), dtype=np.int64)
-    ids = np.ascontiguousarray(np.frombuffer(data, "<u2", -1, 8 + size + 2 * n).reshape(2, -1).T).tobytes()
-    a = 0
-    for word, z in zip(data[8 : 8 + size].decode().split(" "), ends.tolist(), strict=True):
-        yield word, ids[a:z]
-        a = z
+    lengths = np.frombuffer(data, "<u2", n, 8 + size)
+    ids = np.ascontiguousarray(np.frombuffer(data, "<u2", -1, 8 + size + 2 * n).reshape(2, -1).T).view("<i4").reshape(-1)
+    return pc.split_pattern(pa.array([data[8 : 8 + size]], pa.string()), " ").flatten(), lengths, ids
 
 
-def _assemble(pieces: Pieces, cache: dict[str, bytes], with_ids: bool):
-    names = ["doc_id", "n_words", "n_pieces", "ids_crc32", "round_trip"]
-    kinds = [pa.int64()] * 4 + [pa.bool_()]
+def _assemble(pieces: Pieces, cache: pa.Table, with_ids: bool):
+    names = ["doc_id", "n_words", "n_pieces", "ids_crc32", "round_trip"] + ["ids"] * with_ids
+    kinds = [pa.int64()] * 4 + [pa.bool_()] + [pa.list_(pa.int32())] * with_ids
+    schema = pa.schema(list(zip(names, kinds, strict=True)))
     table, raw = pieces.table(), pieces.raw()
-
-    class Runs(dict):
-        """Runs and their ids; what isn't there is in the cache, or merged in place."""
-
-        def __missing__(self, run: str) -> bytes:
-            found = cache.get(run)
-            if found is None:
-                found = np.array(merge_long(run, pieces, table), dtype="<u4").tobytes()
-            self[run] = found
-            return found
-
-    class Known(dict):
-        """Words and their ids, put together of their runs."""
-
-        def __init__(self, runs: Runs) -> None:
-            self.runs = runs
-
-        def __missing__(self, word: str) -> bytes:
-            whole = marked(word)
-            found = self.runs.get(whole) or cache.get(whole)
-            if found is None:
-                found = b"".join(map(self.runs.__getitem__, pieces.cut(whole)))
-            self[word] = found
-            return found
+    raw_bytes = pa.array(raw, pa.binary())
+
+    def ids_of(words: pa.Array, known: pa.Array, known_ids: pa.ListArray) -> pa.ListArray:
+        """The ids of words, put together of their runs; what isn't known is merged in place."""
+        runs = _runs(words, pieces)
+        at = pc.index_in(runs, known)
+        if at.null_count:
+            others = runs.filter(at.is_null()).unique()
+            known_ids = pa.concat_arrays([known_ids, pa.array([merge_long(r, pieces, table) for r in others.to_pylist()], known_ids.type)])
+            at = pc.coalesce(at, pc.add(pc.index_in(runs, others), len(known)))
+        ids = known_ids.take(at)
+        lengths = np.diff(ids.offsets.to_numpy())
+        return _lists(np.add.reduceat(lengths, _firsts(runs)) if len(words) else lengths, ids.flatten())
+
+    def encoded(batch: pa.RecordBatch, counts: np.ndarray, word_ids: pa.ListArray) -> pa.RecordBatch:
+        ends = word_ids.offsets.to_numpy()[_offsets(counts)]
+        ids = word_ids.flatten()
+        data, found = memoryview(ids.to_numpy()).cast("B"), raw_bytes.take(ids)
+        at = np.frombuffer(found.buffers()[1], np.int32, len(ids) + 1)[ends].tolist() if len(ids) else [0] * len(ends)
+        out, same, crcs = found.buffers()[2].to_pybytes() if len(ids) else b"", [], []
+        for k, (a, z, text) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), batch.column(1).to_pylist(), strict=True)):
+            crcs.append(zlib.crc32(data[4 * a : 4 * z]))
+            text = text.replace(MARK, " ")
+            same.append(out[at[k] : at[k + 1]] == b" " + text.encode() or decode(ids[a:z].to_pylist(), raw) == text)
+        columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(np.diff(ends), pa.int64()), pa.array(crcs, pa.int64()), pa.array(same, pa.bool_())]
+        return pa.RecordBatch.from_arrays(columns + [pa.ListArray.from_arrays(pa.array(ends), ids)] * with_ids, schema=schema)
 
     def run(blobs: pa.Table, words: pa.Table) -> pa.Table:
-        runs, rows, data_ = Runs(), [], []
-        for blob in words["words"].to_pylist():
-            runs.update(_read_words(blob))
-        known = Known(runs)
-        for blob in blobs["blob"].to_pylist():
-            for batch in _unpress(blob):
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    words_ = words_of(text)
-                    data = b"".join(map(known.__getitem__, words_))
-                    same = decode(memoryview(data).cast("I"), raw) == text.replace(MARK, " ")
-                    rows.append((doc_id, len(words_), len(data) // 4, zlib.crc32(data), same))
-                    data_.append(data if with_ids else b"")
-        columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
-        if with_ids:
-            offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in data_]))).astype(np.int32)
-            columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(data_), dtype="<i4"))))
-        return pa.Table.from_arrays(columns, names + ["ids"] * with_ids)
+        sent = [_read_words(blob.as_buffer()) for blob in words["words"]]
+        known = pa.concat_arrays([*cache["word"].chunks, *(w for w, _, _ in sent), pa.array([], pa.string())])
+        lists = [_lists(lengths, pa.array(ids, pa.int32())) for _, lengths, ids in sent]
+        known_ids = pa.concat_arrays([*cache["ids"].chunks, *lists, pa.array([], pa.list_(pa.int32()))])
+        batches = [batch for blob in blobs["blob"] for batch in _unpress(blob.as_buffer())]
+        split = [_words(batch.column(1)) for batch in batches]
+        coded = pa.concat_arrays([*(s.flatten() for s in split), pa.array([], pa.string())]).dictionary_encode()
+        counts = [pc.list_value_length(s).to_numpy() for s in split]
+        del split, sent, lists
+        each, a, out = ids_of(coded.dictionary, known, known_ids), 0, []
+        for batch, n in zip(batches, counts, strict=True):  # neither side of the pipe holds a whole chunk's ids in one piece
+            out.append(encoded(batch, n, each.take(coded.indices.slice(a, int(n.sum())))))
+            a += int(n.sum())
+        return pa.Table.from_batches(out, schema)
 
     return run
 
@@ -562,15 +608,10 @@ def encode(docs: DataFrame, pieces: Pieces, cache_words: int = CACHE_WORDS, chun
     counted = rows.select("text").mapInArrow(_frequent(pieces, LEAST_SEEN, SLICE_WORDS), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     common = counted.orderBy(F.desc("n"), "word").limit(cache_words).select("word")
     ids = stash(_encode_runs(stash(common, "common-words").repartition(-(-cache_words // HELD_WORDS) + 1, "word"), pieces), "common-ids")
-    known: dict[str, bytes] = {}
-    held = 0
     bounded = ids.select("word", "ids").toArrow()  # at most cache_words short rows
-    for word, found in zip(bounded["word"].to_pylist(), bounded["ids"].to_pylist(), strict=True):
-        known[word] = struct.pack(f"<{len(found)}I", *found)
-        held += len(word) + 4 * len(found)
-        if held > CACHE_BYTES:
-            break
-    shared = spark.sparkContext.broadcast(known)
+    bounded = bounded.cast(pa.schema([("word", pa.string()), ("ids", pa.list_(pa.int32()))])).combine_chunks()
+    sizes = np.array(pc.binary_length(bounded["word"])) + 4 * np.array(pc.list_value_length(bounded["ids"]))
+    shared = spark.sparkContext.broadcast(bounded.slice(0, int(np.searchsorted(np.cumsum(sizes), CACHE_BYTES)) + 1))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tasks = max(1, min(MAX_TASKS, size // TASK_BYTES))
     parts = PARTS * tasks

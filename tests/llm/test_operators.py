@@ -1,11 +1,16 @@
 """Each operator against a brute-force version, on texts with nulls, blanks, copies, ties and clashing columns."""
 
 import hashlib
+import os
+import pickle
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -550,6 +555,37 @@ def test_sentencepiece_query_gives_ids_that_decode(docs, texts, pieces, spark, t
     assert {r["doc_id"]: r["text"] for r in sentencepiece_lattice.decoded(found, pieces).collect()} == {i: t or "" for i, t in enumerate(texts)}
 
 
+ASSEMBLES = """
+import pickle, sys
+import pyarrow as pa
+from tallymark.llm import sentencepiece_lattice as lattice
+blobs, words, pieces, cache = pickle.load(open(sys.argv[1], "rb"))
+put = lattice._assemble(pieces, cache, True)
+open("/proc/self/clear_refs", "w").write("5")
+kb = lambda key: int(open("/proc/self/status").read().split(key)[1].split()[0])
+before = kb("VmRSS:")
+found = put(blobs, words)
+print((kb("VmHWM:") - before) // 1024, sum(found["n_words"].to_pylist()), max(len(b) for b in found.to_batches()))
+"""
+
+
+def test_sentencepiece_chunk_memory(pieces, tmp_path):
+    """A full chunk of texts, where each word is another one, is put together in 450 MB beside its input, and its ids leave in parts."""
+    rng, chunk = np.random.default_rng(3), sentencepiece_lattice.CHUNK_BYTES
+    letters = rng.integers(97, 123, (chunk // 9, 9), dtype=np.uint8)
+    letters[:, 8] = 32
+    texts = [bytes(x).decode().rstrip() for x in np.array_split(letters.reshape(-1, 9), 3000)]
+    blobs = [sentencepiece_lattice._press(pa.RecordBatch.from_pydict({"doc_id": [*range(250)], "text": texts[a : a + 250]})) for a in range(0, 3000, 250)]
+    runs = pa.RecordBatch.from_pydict({"word": ["▁" + w for t in texts for w in t.split(" ")], "chunks": [[1]] * len(letters), "ids": pa.array([[9, 8, 7]] * len(letters), pa.list_(pa.int32()))})
+    words = pa.Table.from_batches([*sentencepiece_lattice._by_chunk(1 << 18)(runs.slice(a, 16384) for a in range(0, len(letters), 16384))])
+    none = pa.table({"word": pa.array([], pa.string()), "ids": pa.array([], pa.list_(pa.int32()))})
+    with open(tmp_path / "chunk", "wb") as f:
+        pickle.dump((pa.table({"blob": pa.array(blobs, pa.binary())}), words, pieces, none), f)
+    ran = subprocess.run([sys.executable, "-c", ASSEMBLES, str(tmp_path / "chunk")], capture_output=True, text=True, check=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(__file__))))
+    grown, met, largest = map(int, ran.stdout.split())
+    assert grown < 450 and met == len(letters) and largest == 250
+
+
 def test_merging_by_aggregate_is_the_library(spark, pieces):
     """Words of random pieces, characters without piece, and runs of marks; none needs more than the one pass but the odd ones."""
     import random
