@@ -14,7 +14,7 @@ import json
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -30,8 +30,8 @@ CAPACITY, SEPARATOR, GROUP_DOCS = 1024, 0, 4096
 GROUP_BYTES = 64 << 20
 #: First bytes of UTF-8 characters beyond U+024F. Such texts go to the slower tokenizer, whose idea of a letter rules.
 _BEYOND_LATIN = re.compile(rb"[\xca-\xff]")
-#: Runs longer than this also go there: its merging is not quadratic in a run's length.
-_LONG_RUN = re.compile(rb"[^\x09-\x0D ]{2000}|[\x09-\x0D ]{2000}")
+#: Texts with a run of so many bytes that are blank, or that are not, also go there: its merging is not quadratic in a run's length.
+LONG_RUN, _BLANK = 2000, np.isin(np.arange(256), [*b"\t\n\x0b\x0c\r "])
 
 
 @lru_cache(maxsize=4)
@@ -49,6 +49,16 @@ def _quick(ranks: bytes, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
 
+def has_long_run(text: bytes, window: int = 1 << 20) -> bool:
+    """Whether LONG_RUN bytes in a row are blank, or are not. Windows overlap, and bound what is held beside a very long text."""
+    for a in range(0, len(text) - LONG_RUN + 1, window):
+        blank = _BLANK[np.frombuffer(text[a : a + window + LONG_RUN - 1], np.uint8)]
+        turns = np.flatnonzero(blank[1:] != blank[:-1])
+        if np.diff(turns, prepend=-1, append=len(blank) - 1).max() >= LONG_RUN:
+            return True
+    return False
+
+
 class Tokens:
     """Ids of a text under a vocabulary file of `tokenizers`. ranks: the same vocabulary as ranks, for Latin text; optional.
 
@@ -66,10 +76,19 @@ class Tokens:
             with open(ranks_path, "rb") as f:
                 self.ranks = f.read()
 
+    def encoder(self) -> Callable[[bytes], list[int]]:
+        """What gives a text's ids. The tokenizers are looked up once for it, not for each text: their keys are whole vocabularies."""
+        quick, exact = lru_cache(lambda: _quick(self.ranks, self.pattern)), lru_cache(lambda: _exact(self.model))
+
+        def ids(text: bytes) -> list[int]:
+            if self.ranks and not _BEYOND_LATIN.search(text) and not has_long_run(text) and not any(t in text for t in self.added):
+                return quick().encode_ordinary(text.decode())
+            return exact().encode(text.decode(), add_special_tokens=False).ids
+
+        return ids
+
     def __call__(self, text: bytes) -> list[int]:
-        if self.ranks and not _BEYOND_LATIN.search(text) and not _LONG_RUN.search(text) and not any(t in text for t in self.added):
-            return _quick(self.ranks, self.pattern).encode_ordinary(text.decode())
-        return _exact(self.model).encode(text.decode(), add_special_tokens=False).ids
+        return self.encoder()(text)
 
 
 class TournamentTree:
@@ -118,10 +137,11 @@ def _pieces(tokens: Tokens, capacity: int, separator: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: Counter[tuple[int | None, int]] = Counter()
+        encode = tokens.encoder()
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.array([*tokens(text), separator], dtype="<u4")
+                ids = np.array([*encode(text), separator], dtype="<u4")
                 n, row = len(ids), (doc_id, zlib.crc32(text))
                 out += [(doc_id, a, min(capacity, n - a), ids[a : a + capacity].tobytes(), n, met[row]) for a in range(0, n, capacity)]
                 met[row] += 1

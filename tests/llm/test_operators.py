@@ -6,6 +6,7 @@ import pickle
 import re
 import subprocess
 import sys
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -129,6 +130,52 @@ def test_added_tokens_are_as_the_tokenizer_has_them(text):
     assert tokens()(text.encode()) == exact.encode(text, add_special_tokens=False).ids
 
 
+@pytest.fixture
+def routed(monkeypatch):
+    """Texts that the quick tokenizer got, in place of it."""
+
+    got: list[str] = []
+
+    class Quick:
+        def encode_ordinary(self, text):
+            got.append(text)
+            return []
+
+    monkeypatch.setattr(packing, "_quick", lambda *_: Quick())
+    return got
+
+
+LONG_RUN = re.compile(rb"[^\x09-\x0D ]{2000}|[\x09-\x0D ]{2000}")
+
+
+def test_long_runs_go_to_the_slower_tokenizer(routed):
+    tokenizer = tokens()
+    for n in (1, 1998, 1999, 2000, 2001):
+        for run in ("x" * n, "é" * (n // 2) + "x" * (n % 2), " \t\n\x0b\x0c\r" * (n // 6) + " " * (n % 6), "\x08" * n, "\x0e" * n):
+            for text in (run, "a " + run + " a", " a" + run, run + "a ", "a" * 1998 + " " * 1998 + run):
+                routed.clear()
+                tokenizer(text.encode())
+                assert bool(routed) == (not LONG_RUN.search(text.encode()))
+
+
+def test_long_runs_are_found_across_windows():
+    for n in (1999, 2000, 2001, 7000):
+        for before in range(0, 9000, 97):
+            text = (b"ab " * 3000)[:before] + b" " * (before % 2) + b"x" * n + b" " + b"ab " * 900
+            assert packing.has_long_run(text, 2500) == packing.has_long_run(text) == bool(LONG_RUN.search(text))
+
+
+def test_choosing_the_tokenizer_is_quick(routed):
+    """It takes less than half of what a pattern of long runs takes alone, over words of a text."""
+    text, tokenizer, spent = b"some words of a text, and others beside " * 50_000, tokens(), [[], []]
+    for _ in range(5):
+        for times, choose in zip(spent, (tokenizer, LONG_RUN.search), strict=True):
+            began = time.process_time()
+            choose(text)
+            times.append(time.process_time() - began)
+    assert len(routed) == 5 and min(spent[0]) < min(spent[1]) / 2
+
+
 def test_packing_parts_repeated_rows_and_long_texts(spark):
     """One row over and over, and one very long text, are dealt to many groups."""
     rows = [(7, "the same row of words")] * 600 + [(8, "word " * 200_000), (None, "no id"), (None, None)]
