@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from tallymark.llm._shared import session, stash
 
 MARK = "▁"
-MAX_WORD, CACHE_WORDS, CACHE_BYTES, CHUNK_BYTES = 48, 300_000, 8 << 20, 12 << 20
+MAX_WORD, CACHE_WORDS, CACHE_BYTES, CHUNK_BYTES = 48, 300_000, 8 << 20, 8 << 20
 #: A map task reports a word to the frequency count from so many occurrences in a slice of its documents.
 LEAST_SEEN, SLICE_WORDS = 4, 1 << 22
 #: Words that are cut into runs at a time.
